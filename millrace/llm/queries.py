@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.clean import clean_user, instant_ms, plain, strip
+from millrace.llm.mixing import measured, mix, share_report
+from millrace.llm.packing import fill_report, pack, token_sizes
 from millrace.llm.sketch import distinct_counts, doubled
+from millrace.llm.subjects import document_subjects, fit_from, subject_units
 from millrace.llm.terms import ngram_frequencies, value_frequencies
+from millrace.session import cut
 from millrace.tables import load
 
 
@@ -53,7 +57,47 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_counts(_active(spark, folder), ["active_day", "country_iso_code", "os"], "userid").withColumn("active_day", F.col("active_day").cast("string"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tags, p1_ngrams, p6_found, p6_counts)}
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text or piece of one with its container, for each kind of container."""
+    sizes = cut(token_sizes(load(spark, folder, "documents")))
+    kinds = load(spark, folder, "pack_capacities").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    packed = pack(sizes, kinds)
+    return packed.select(F.col("kind").alias("container_kind"), F.col("capacity").alias("capacity_tokens"), F.col("container").alias("container_id"), "doc_id", "piece", "tokens")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full each kind's containers are."""
+    packed = p8_packing(spark, folder).withColumnsRenamed({"container_kind": "kind", "capacity_tokens": "capacity", "container_id": "container"})
+    return fill_report(packed)
+
+
+def _model(spark: SparkSession, folder: str):
+    return fit_from(load(spark, folder, "subject_examples"), load(spark, folder, "documents"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The selected documents with their copies."""
+    sized = cut(measured(load(spark, folder, "documents"), _model(spark, folder)))
+    return mix(sized, load(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of tokens wanted and reached."""
+    return share_report(p9_mix(spark, folder), load(spark, folder, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every subject that at least two units of a text are about."""
+    return document_subjects(load(spark, folder, "documents"), _model(spark, folder)).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by subject: documents about it, documents that mention it, and units."""
+    found = subject_units(load(spark, folder, "documents"), _model(spark, folder))
+    return found.groupBy("subject").agg(F.count_if(F.col("units") >= 2).alias("documents"), F.count(F.lit(1)).alias("mentions"), F.sum("units").alias("units"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tags, p1_ngrams, p6_found, p6_counts, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _TAGS = r"""WITH t AS (SELECT nullif(lower(regexp_replace(regexp_replace(regexp_replace(tag, '^\s+|\s+$', '', 'g'), '^<(.*)>$', '\1', 's'), '^\s+|\s+$', '', 'g')), '') AS tag, post_id FROM tags),
 p AS (SELECT count(DISTINCT post_id) AS n FROM t),
