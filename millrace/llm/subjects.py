@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hash buckets for word n-grams; the model holds weights only for those met when it was fitted.
-BUCKETS = 1 << 24
+BUCKETS = 1 << 32
 #: An n-gram in at least this many of the fitting documents, of which no subject is, beyond chance, the main one of more
 #: than this share, is common matter (headings, courtesies, keywords) and no evidence; nor is a rarer pair of words.
 COMMON_DOCUMENTS, COMMON_SHARE = 5, 0.22
@@ -28,8 +28,9 @@ MIN_UNITS = 2
 
 #: Evidence and lead before the next subject from which a part is clearly about a subject; below NONE it says nothing.
 EVIDENCE, LEAD, NONE = 1.0, 1.0, 0.3
-#: A subject this far behind the best one in a part may still win by its share of the text's clear parts.
-CONTEXT = 1.5
+#: A subject at most NEAR behind the best one in a part may still win by the logarithm of its share of the text's clear
+#: parts, times CONTEXT.
+NEAR, CONTEXT = 4.0, 1.5
 #: Folds in which labels of examples are tried.
 FOLDS = 5
 
@@ -37,13 +38,14 @@ _TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|h[1-6]|span|b|i|em|strong|a|pre|code
 _GARBLED = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]{2,}")
 _CODE_LINE = re.compile(r"^\s*(?:def |class |import |from \S+ import|func |type \w+ |package |const |var |let |export |module\.|return\b|public |private |fn |struct |use |#include|for .*:$|if .*[:{]$|//|#(?!#)\s|\"\"\"|[{}\])];?$|\w+(?:\.\w+)* (?:=|:=|\+=) )|[{;]\s*$|=>|^\s+\w[\w.]*\(.*\)\s*$")
 _COMMENT = re.compile(r"\"\"\"(.*?)\"\"\"|(?:^|(?<=\s))(?://+|#+)\s*([^\n]*)", re.S)
+_REMARK = re.compile(r"\s*(?://|#(?!#))")
 _HEADING = re.compile(r"\s*#{2,6}\s")
 _SENTENCE = re.compile(r"(?<=[.?!])[\"')\]]*\s+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\w+")
 #: A stretch without sentence ends that is longer than this is cut at learned sentence starts.
-LONG_WORDS = 24
+LONG_WORDS, SHORT_WORDS = 24, 10
 
 
 def _ungarble(m: re.Match) -> str:
@@ -81,7 +83,8 @@ def units(text: str) -> Iterator[list[str]]:
     def flush() -> Iterator[list[str]]:
         if not block:
             return
-        if sum(bool(_CODE_LINE.search(x)) for x in block) * 2 >= len(block):
+        other = [x for x in block if not _REMARK.match(x)]  # remarks stand in code and before prose
+        if sum(bool(_CODE_LINE.search(x)) for x in other) * 2 >= len(other):
             yield from _code(block)
         else:
             for line in block:
@@ -143,11 +146,12 @@ class Hasher:
         return [self.one(w) for w in ws] + [self.one(f"{a} {b}") for a, b in zip(ws, ws[1:])]
 
 
-def _openings(tokens: list[str]) -> tuple[tuple, tuple, tuple] | None:
-    """What may tell a sentence start: the first two words, the first and third, the first three."""
-    if len(tokens) < 3:
+def _openings(tokens: list[str]) -> tuple[tuple, ...] | None:
+    """What may tell a sentence start: the first words, with and without the second."""
+    if len(tokens) < 4:
         return None
-    return (("2", tokens[0], tokens[1]), ("s", tokens[0], tokens[2]), ("3", *tokens[:3]))
+    a, b, c, d = tokens[:4]
+    return (("2", a, b), ("s", a, c), ("3", a, b, c), ("q", a, c, d))
 
 
 def _tokens(sentence: str) -> list[str]:
@@ -169,20 +173,23 @@ def learn_openings(texts: Iterable[str], least: int = 4, share: float = 0.8) ->
             if not 4 <= len(ts) <= LONG_WORDS:
                 continue
             starts.update(_openings(ts) or ())
-            for i in range(1, len(ts) - 2):
-                inside.update(_openings(ts[i : i + 3]))
+            for i in range(1, len(ts) - 3):
+                inside.update(_openings(ts[i : i + 4]))
     return frozenset(p for p, n in starts.items() if n >= least and n >= share * (n + inside[p]))
 
 
 def cut_long(sentence: str, openings: frozenset) -> list[str]:
-    """A long stretch without sentence ends, cut where a learned opening begins; a short one as it is."""
+    """A stretch of several sentences without sentence ends, cut where a learned opening begins.
+
+    A stretch of up to LONG_WORDS words that ends like a sentence, or of up to SHORT_WORDS, is left as it is.
+    """
     found = list(_TOKEN.finditer(sentence))
-    if len(found) <= LONG_WORDS or not openings:
+    if len(found) <= SHORT_WORDS or not openings or len(found) <= LONG_WORDS and sentence.rstrip()[-1:] in ".?!":
         return [sentence]
     low = ["0" if (t := m.group().lower()).isdigit() else t for m in found]
     cuts, last = [0], 0
-    for i in range(1, len(low) - 2):
-        if i - last >= 4 and any(o in openings for o in _openings(low[i : i + 3])):
+    for i in range(1, len(low) - 3):
+        if i - last >= 4 and any(o in openings for o in _openings(low[i : i + 4])):
             cuts.append(found[i].start())
             last = i
     return [sentence[a:b] for a, b in zip(cuts, [*cuts[1:], len(sentence)])]
@@ -331,6 +338,7 @@ def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list,
     labels = list(np.where(z[np.arange(len(z)), seed_labels] >= NONE, seed_labels, -1))
     weight = [1.0] * len(grams)
     main: dict[int, Counter] = defaultdict(Counter)  # n-gram -> main subjects of the documents that have it
+    read: list[tuple] = []
     singles: set[int] = set()
     pairs: set[int] = {k for g in seed_grams for k in g[len(g) // 2 + 1 :]}
     for parts, path in texts:
@@ -340,7 +348,6 @@ def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list,
             pairs.update(g[len(g) // 2 + 1 :])
         z = model.scores(gs, hashed=True)
         about = _clear(z)
-        best, top = z.argmax(1), z.max(1)
         votes: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(model.subjects)))
         for (section, _), a in zip(parts, about):
             votes[section] += a
@@ -352,19 +359,21 @@ def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list,
             zp = model.scores([hasher.grams(path)], hashed=True)
             for v in votes.values():
                 v += _clear(zp)[0]
-        for (section, _), g, b, t, a in zip(parts, gs, best, top, about):
-            v = votes[section]
-            if a.any():
-                grams.append(g), labels.append(int(b)), weight.append(1.0)
-            elif t < NONE:
-                grams.append(g), labels.append(-1), weight.append(1.0)
-            if not a.any() and v.max() >= 2 and v.max() >= 0.7 * v.sum():
-                grams.append(g), labels.append(int(v.argmax())), weight.append(0.3)
+        read.append((parts, gs, z, about, votes))
     common = set()
     for k in singles | pairs:
         n, most = main[k].total(), max(main[k].values(), default=0)
         if n >= COMMON_DOCUMENTS and most - 1.65 * most**0.5 <= COMMON_SHARE * n or n < COMMON_DOCUMENTS and k not in singles:
             common.add(k)
+    for parts, gs, z, about, votes in read:
+        for (section, _), g, zs, a in zip(parts, gs, z, about):
+            v = votes[section]
+            if a.any():
+                grams.append(g), labels.append(int(zs.argmax())), weight.append(1.0)
+            elif zs.max() < NONE and common.issuperset(g[: len(g) // 2 + 1]):
+                grams.append(g), labels.append(-1), weight.append(1.0)
+            elif v.max() >= 2 and v.max() >= 0.7 * v.sum() and any(k not in common and main[k].total() >= 3 for k in g[: len(g) // 2 + 1]):
+                grams.append(g), labels.append(int(v.argmax())), weight.append(0.3)
     slots, w, b = fit_linear(grams, np.array(labels), np.array(weight), len(model.subjects), frozenset(common))
     return Model(model.subjects, slots, w, b, model.thresholds, openings)
 
@@ -372,7 +381,8 @@ def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list,
 def _calibrate(model: Model, grams: list, labels: np.ndarray) -> np.ndarray:
     """Per subject the evidence from which a part counts: the best F1 over the examples' parts.
 
-    Parts in which no subject has any evidence count for none. Of equally good thresholds the middle one is taken.
+    Parts in which no subject has any evidence count for none. Of equally good thresholds one from the lower
+    part of their range is taken.
     """
     z = model.scores(grams, hashed=True)
     said = z.max(1) >= NONE
@@ -385,7 +395,7 @@ def _calibrate(model: Model, grams: list, labels: np.ndarray) -> np.ndarray:
             hit = (z[:, s] >= t) & (z.argmax(1) == s)
             f1.append(2 * (hit & mine).sum() / max(hit.sum() + mine.sum(), 1))
         best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-3)
-        out[s] = tries[best[len(best) // 2]]
+        out[s] = tries[best[len(best) // 4]]
     return out
 
 
@@ -393,8 +403,8 @@ def classify_batch(model: Model, hasher: Hasher, texts: list[str | None]) -> lis
     """For each text the number of units about each subject.
 
     A part is about the subject with most evidence, if that reaches the subject's threshold. Where others come close (a
-    word of two subjects), the share of each in the text's clear parts adds to its evidence. A unit counts once per
-    subject.
+    word of two subjects), the share of each in the text's clear parts adds to its evidence. A subject that no part is
+    clearly about doesn't count. A unit counts once per subject.
     """
     grams: list[list[int]] = []
     spans: list[tuple[int, int, int]] = []
@@ -413,10 +423,10 @@ def classify_batch(model: Model, hasher: Hasher, texts: list[str | None]) -> lis
     for i, parts in by_text.items():
         ks = [k for _, k in parts]
         whole = about[ks].sum(0)
-        share = whole / max(whole.sum(), 1)
+        share = CONTEXT * np.log(whole / max(whole.sum(), 1) + 0.05)
         own = z[ks]
-        best = (own + CONTEXT * share * (own >= own.max(1, keepdims=True) - CONTEXT)).argmax(1)
-        enough = own[np.arange(len(ks)), best] >= model.thresholds[best]
+        best = np.where((own >= own.max(1, keepdims=True) - NEAR) & (own >= model.thresholds), own + share, own - 1e6).argmax(1)
+        enough = (own[np.arange(len(ks)), best] >= model.thresholds[best]) & (whole[best] > 0)
         counts = Counter(s for _, s in {(u, int(s)) for (u, _), s, ok in zip(parts, best, enough) if ok})
         out[i] = {model.subjects[s]: n for s, n in counts.items()}
     return out
