@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
-USUAL_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
-OFFSET_PATTERN = r"(Z|T.*[+-]\d{2}(:?\d{2})?)$"
+OFFSET_PATTERN = r"Z$|[T ].*[+-]\d{2}(:?\d{2})?$"
+#: Calendar and basic spellings with what may be left out.
+OTHER_SPELLINGS = ("yyyy-MM-dd[['T'][ ]HH:mm[:ss][.SSSSSSSSS]][ ][XXX][XX][X]", "yyyyMMdd['T'HHmm[ss][.SSSSSSSSS]][XXX][XX][X]")
+CONTROL = "".join(map(chr, [*range(32), 127]))
+#: Fixed value: the characters with Unicode's White_Space property, and the four information separators.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _col(c: Column | str) -> Column:
@@ -16,12 +19,12 @@ def _col(c: Column | str) -> Column:
 
 def clean_user(c: Column | str) -> Column:
     """The id without control characters (U+0000-U+001F, U+007F); null where nothing is left."""
-    return F.nullif(F.regexp_replace(_col(c), r"[\x00-\x1F\x7F]", ""), F.lit(""))
+    return F.nullif(F.translate(_col(c), CONTROL, ""), F.lit(""))
 
 
 def strip(c: Column | str) -> Column:
     """The text without surrounding white space of any kind."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def plain(c: Column | str) -> Column:
@@ -36,15 +39,18 @@ def instant_ms(c: Column | str) -> Column:
     before the time, and offsets as ``Z``, ``+hh``, ``+hhmm`` and ``+hh:mm`` are read.
     """
     raw = F.upper(strip(_col(c)))
-    iso = F.regexp_replace(raw, r"^(\d{4}-\d{2}-\d{2}) +(?=\d)", "$1T")
-    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})T(\d{2}):?(\d{2}):?(\d{2})", "$1-$2-$3T$4:$5:$6")
-    iso = F.regexp_replace(F.replace(iso, F.lit(","), F.lit(".")), r" +(?=[+-]\d{2}|Z$)", "")
-    zoned = F.when(iso.rlike(OFFSET_PATTERN), iso).when(F.contains(iso, F.lit("T")), F.concat(iso, F.lit("Z"))).otherwise(F.concat(iso, F.lit("T00:00:00Z")))
-    # two-digit offsets get their minutes: the cast reads +hh:mm only
-    zoned = F.regexp_replace(zoned, r"(T.*[+-]\d{2})$", "$1:00")
-    zoned = F.regexp_replace(zoned, r"(T.*[+-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.regexp_replace(zoned, r"T(\d{2}:\d{2})(?=Z|[+-])", "T$1:00")
-    return F.when(raw.rlike(r"^\d{1,18}$"), raw.try_cast("bigint")).when(raw.rlike(USUAL_PATTERN), F.unix_millis(raw.try_cast("timestamp"))).when(iso.rlike(ISO_PATTERN), F.unix_millis(zoned.try_cast("timestamp")))
+    # the usual spellings take no regular expression: yyyy-MM-dd, T or a blank, HH:mm:ss, perhaps a fraction, an offset
+    dated = (F.length(raw) >= 19) & (F.substring(raw, 5, 1) == "-") & F.substring(raw, 11, 1).isin("T", " ")
+    zoned = F.endswith(raw, F.lit("Z")) | ((F.length(raw) > 19) & F.substring(raw, -6, 1).isin("+", "-"))
+    usual = F.when(dated, F.unix_millis(F.when(zoned, raw).otherwise(F.concat(raw, F.lit("Z"))).try_cast("timestamp")))
+    count = F.when(raw.rlike(r"^\d{1,18}$"), raw.try_cast("bigint"))
+    return F.coalesce(usual, count, _other_ms(raw))
+
+
+def _other_ms(raw: Column) -> Column:
+    text = F.translate(raw, ",", ".")
+    zoned = F.when(text.rlike(OFFSET_PATTERN), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.unix_millis(F.coalesce(*[F.try_to_timestamp(zoned, F.lit(p)) for p in OTHER_SPELLINGS]))
 
 
 def epoch_ms(c: Column | str) -> Column:
