@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: Rows of a matrix; the relative standard error is about 0.65 / sqrt(rows), 1 % for 4096.
 ROWS = 4096
 #: Ranks kept, from 0; a set would need about ROWS * 2**RANKS members to fill them.
@@ -104,12 +106,12 @@ def doubled(rows: DataFrame, day: str, group: str, member: str, factor: float =
     and groups are then counted exactly. ``day`` is a date; null days, groups and members are skipped.
     """
     usable = rows.filter(F.col(day).isNotNull() & F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(day).alias("_d"), F.col(group).alias("_g"), F.col(member).alias("_m"))
-    sized = estimate(bit_matrices(usable, ["_d", "_g"], "_m", n_rows), ["_d", "_g"], n_rows)
+    sized = cut(estimate(bit_matrices(usable, ["_d", "_g"], "_m", n_rows), ["_d", "_g"], n_rows))
     slack = F.lit(bounds) * F.col("std_error") + 2
     today = sized.select("_d", "_g", (F.col("estimate") + slack).alias("_high"))
     before = sized.select(F.date_add("_d", 1).alias("_d"), "_g", (F.col("estimate") - slack).alias("_low"))
     possible = today.join(before, ["_d", "_g"]).filter(F.col("_high") >= factor * F.col("_low")).select("_d", "_g")
     needed = possible.select(F.explode(F.array("_d", F.date_sub("_d", 1))).alias("_d"), "_g").distinct()
-    exact = usable.join(needed, ["_d", "_g"], "left_semi").distinct().groupBy("_d", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    exact = cut(usable.join(needed, ["_d", "_g"], "left_semi").distinct().groupBy("_d", "_g").agg(F.count(F.lit(1)).alias("_n")))
     earlier = exact.select(F.date_add("_d", 1).alias("_d"), "_g", F.col("_n").alias("_b"))
     return possible.join(exact, ["_d", "_g"]).join(earlier, ["_d", "_g"]).filter(F.col("_n") >= factor * F.col("_b")).select(F.col("_d").alias(day), F.col("_g").alias(group), F.col("_n").alias("members"), F.col("_b").alias("members_before"))
