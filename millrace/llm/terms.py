@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 
 #: Suffixes with one first term beyond this many go to several tasks, by their records.
 TASK_ROWS = 200_000
@@ -107,7 +109,7 @@ def value_frequencies(rows: DataFrame, value: str, record: str, rare_below: int
     both is ``rare``. Rows of one value and record are added up before they are routed.
     """
     pairs = rows.filter(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(F.array(F.col(value)).alias("s"), F.col(record).alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    counted = term_frequencies(pairs, "s", "r", "n", task_rows)
+    counted = term_frequencies(cut(pairs), "s", "r", "n", task_rows)  # read twice: to find hot values and to route
     everyone = rows.select(record).filter(F.col(record).isNotNull()).distinct().count()
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * everyone, "common").otherwise("useful")
     return counted.select(F.col("terms")[0].alias(value), F.col("total").alias("rows"), "records", mark.alias("mark"))
