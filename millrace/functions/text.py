@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def words(text: Column) -> Column:
@@ -29,14 +30,16 @@ def ngrams(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens as texts; empty if there are fewer. ``n`` below 1 is an error."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # shifted copies side by side: linear in the tokens, where a slice per position would copy the rest each time
+    count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(tokens, F.lit(i + 1), count).alias(f"t{i}") for i in range(n)])
+    return F.when(F.size(tokens) >= n, F.transform(shifted, lambda g: F.concat_ws(" ", *[g[f"t{i}"] for i in range(n)]))).otherwise(F.array().cast("array<string>"))
 
 
 def shingles(text: Column, size: int = 5, keep_underscores: bool = False) -> Column:
     """Windows of ``size`` letters of the lower-case text; underscores are taken out first unless kept."""
     low = F.lower(text) if keep_underscores else F.replace(F.lower(text), F.lit("_"), F.lit(""))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(size)))
-    return F.filter(windows, lambda w: w.rlike(f"^\\p{{L}}{{{size}}}$"))
+    return F.regexp_extract_all(low, F.lit(f"(?=(\\p{{L}}{{{size}}}))"), F.lit(1))
 
 
 def without(tokens: Column, stop: list[str]) -> Column:
@@ -126,7 +129,7 @@ def porter_stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     """Porter stems of arrays of lower-case tokens; a batch stems each distinct token once."""
     known: dict[str, str] = {}

@@ -343,7 +343,7 @@ SELECT doc_id, round(score, 6) AS score, round((score - avg(score) OVER ()) / st
     "import_pairs": f"WITH {_IMPORTS}, x AS (SELECT doc_id, unnest(m) AS a FROM i) SELECT x.a, y.a AS b, count(*) AS n FROM x JOIN x y USING (doc_id) WHERE x.a <> y.a GROUP BY ALL",
     "path_rollup": r"WITH d AS (SELECT array_to_string(string_split(path, '/')[1:2], '/') AS top, regexp_extract(path, '\.(\w+)$', 1) AS ending, length(text) AS n FROM documents WHERE path IS NOT NULL AND NOT contains(path, '/node_modules/')) SELECT top, ending, count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM d GROUP BY ROLLUP (top, ending)",
     "scaled_word_counts": r"WITH d AS (SELECT regexp_extract(path, '\.(\w+)$', 1) AS ext, unnest(regexp_extract_all(lower(text), '\w+')) AS word FROM documents WHERE text IS NOT NULL AND path IS NOT NULL), c AS (SELECT ext, word, count(*) AS n FROM d GROUP BY ALL HAVING count(*) >= 2), t AS (SELECT ext, max(n) AS most FROM c GROUP BY 1), a AS (SELECT max(most) AS w FROM t) SELECT word, CAST(round(max(w * n / most)) AS BIGINT) AS n FROM c JOIN t USING (ext), a GROUP BY 1",
-    "line_positions": "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, len(l) AS lines, coalesce(list_position(list_transform(l, lambda x: trim(x)), ''), 0) AS at FROM d) SELECT doc_id, CAST(lines AS INTEGER) AS lines, round(CASE WHEN at > 0 THEN at / lines END, 6) AS blank_at FROM p",
+    "line_positions": "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, len(l) AS lines, coalesce(list_position(list_transform(l, lambda x: trim(x)), ''), 0) AS pos FROM d) SELECT doc_id, CAST(lines AS INTEGER) AS lines, round(CASE WHEN pos > 0 THEN pos / lines END, 6) AS blank_at FROM p",
     "reservoir": "SELECT coalesce(source, '') AS source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 5",
     "corpus_split": "WITH d AS (SELECT repo, CAST(concat('0x', md5('7:' || coalesce(repo, ''))[1:8]) AS BIGINT) % 100 AS p FROM documents) SELECT CASE WHEN p < 90 THEN 'train' WHEN p < 95 THEN 'validate' ELSE 'test' END AS part, count(*) AS docs, count(DISTINCT repo) AS repos FROM d GROUP BY 1",
     "parts_together": "WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM e x JOIN e y USING (l_orderkey) WHERE x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) >= 2",
