@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import cut
@@ -15,13 +15,24 @@ from millrace.session import cut
 #: Suffixes with one first term beyond this many go to several tasks, by their records.
 TASK_ROWS = 200_000
 
+SEPARATOR = "\x00"
 _OUT = "terms array<string>, total bigint, records bigint"
 
 
 
 
-def count_prefixes(rows: Iterator[tuple[list[str], object, int]]) -> Iterator[tuple[list[str], int, int]]:
-    """Counts of all prefixes of suffixes that come in reverse lexicographic order: ``(prefix, total, records)``.
+def _joined(terms: Column) -> Column:
+    """The terms as one text that sorts as they do: SEPARATOR, below all characters, between them, and escaped within."""
+    safe = F.transform(terms, lambda t: F.replace(F.replace(t, F.lit("\x01"), F.lit("\x01\x02")), F.lit(SEPARATOR), F.lit("\x01\x01")))
+    return F.array_join(F.when(F.exists(terms, lambda t: t.rlike("[\x00\x01]")), safe).otherwise(terms), SEPARATOR)
+
+
+def _taken_apart(terms: list[str]) -> list[str]:
+    return [t.replace("\x01\x01", SEPARATOR).replace("\x01\x02", "\x01") if "\x01" in t else t for t in terms]
+
+
+def count_prefixes(rows: Iterator[tuple[str, object, int]]) -> Iterator[tuple[list[str], int, int]]:
+    """Counts of all prefixes of joined suffixes that come in reverse lexicographic order: ``(prefix, total, records)``.
 
     A stack holds the terms of the current suffix; beside each lie the count and the record set of the prefix that
     ends there. Once a suffix comes that shares fewer terms, the deeper prefixes can't come again: they are popped and
@@ -32,7 +43,7 @@ def count_prefixes(rows: Iterator[tuple[list[str], object, int]]) -> Iterator[tu
     records: list[set] = []
 
     def pop() -> tuple[list[str], int, int]:
-        done = (list(terms), totals[-1], len(records[-1]))
+        done = (_taken_apart(terms), totals[-1], len(records[-1]))
         terms.pop()
         total, own = totals.pop(), records.pop()
         if totals:
@@ -42,7 +53,8 @@ def count_prefixes(rows: Iterator[tuple[list[str], object, int]]) -> Iterator[tu
             records[-1] |= own
         return done
 
-    for suffix, run in groupby(rows, key=lambda r: r[0]):
+    for joined, run in groupby(rows, key=lambda r: r[0]):
+        suffix = joined.split(SEPARATOR)
         shared = 0
         while shared < min(len(suffix), len(terms)) and suffix[shared] == terms[shared]:
             shared += 1
@@ -72,7 +84,8 @@ def term_frequencies(suffixes: DataFrame, suffix: str, record: str, n: str, task
     not in ``records``; repeated rows add up; an empty input gives no rows.
     """
     rows = suffixes.select(F.col(suffix).alias("_s"), F.col(record).alias("_r"), F.col(n).cast("bigint").alias("_n")).filter("size(_s) > 0 AND NOT exists(_s, x -> x IS NULL)")
-    first = F.col("_s")[0]
+    rows = rows.withColumn("_s", _joined(F.col("_s")))
+    first = F.substring_index("_s", SEPARATOR, 1)
     hot = rows.groupBy(first.alias("_f")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > task_rows).select("_f", F.ceil(F.col("_c") / task_rows).cast("int").alias("_ways"))
     routed = rows.withColumn("_f", first).join(hot, "_f", "left").withColumn("_salt", F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("_r"), F.col("_ways")).cast("int")))
     ordered = routed.select("_f", "_salt", "_s", "_r", "_n").repartition("_f", "_salt").sortWithinPartitions("_f", "_salt", F.desc("_s"))
@@ -122,7 +135,10 @@ def text_suffixes(texts: DataFrame, record: str, text: str, longest: int) -> Dat
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     split = texts.select(F.col(record).alias("r"), words.alias("w")).filter("size(w) > 0")
-    return split.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, longest))).alias("s"), "r", F.lit(1).cast("bigint").alias("n"))
+    # shifted copies side by side, short ones padded with nulls: linear in the words of a text
+    shifted = F.arrays_zip(F.col("w").alias("t0"), *[F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"t{i}") for i in range(1, longest)])
+    each = split.select(F.explode(shifted).alias("z"), "r")
+    return each.select(F.array_compact(F.array(*[F.col(f"z.t{i}") for i in range(longest)])).alias("s"), "r", F.lit(1).cast("bigint").alias("n"))
 
 
 def ngram_frequencies(texts: DataFrame, record: str, text: str, longest: int = 2, least: int = 1, rare_below: int = 3, common_above: float = 0.05, task_rows: int = TASK_ROWS) -> DataFrame:
