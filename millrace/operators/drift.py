@@ -82,6 +82,8 @@ def file_fields(records: DataFrame, file: str, text: str, share: float = CHUNK_S
     ``share`` of its rows. A field's count is hence known within bounds; the files in which these bounds leave a
     field or its type open are counted again without leaving anything out.
     """
+    if not 0 <= share <= 0.5:
+        raise ValueError("share must be at most one half: a field of half the rows is on half the rows of some batch")
     given = records.select(F.col(file).cast("string").alias("file"), F.col(text).cast("string").alias("text")).filter("file IS NOT NULL AND text IS NOT NULL")
 
     def total(counts: DataFrame) -> DataFrame:
