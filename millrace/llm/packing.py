@@ -16,7 +16,7 @@ from millrace.llm.tokens import VOCABULARY, count_tokens
 from millrace.session import cut
 
 #: Items of an island, individuals of a deme, demes of an island, generations, and epochs with migration between islands.
-ISLAND, DEME, DEMES, GENERATIONS, EPOCHS = 1000, 5, 2, 12, 4
+ISLAND, DEME, DEMES, GENERATIONS, EPOCHS = 1000, 12, 2, 40, 4
 #: Containers filled to at least this share settle at the end of an epoch.
 SETTLED = 0.995
 
@@ -49,6 +49,12 @@ def _fills(packing: Packing, sizes: list[int]) -> list[int]:
     return [sum(sizes[x] for x in c) for c in packing]
 
 
+def _order(items: list[int], sizes: list[int], rng: random.Random) -> list[int]:
+    """By falling size, or now and then nearly so, which tries other company."""
+    noise = rng.choice((0.0, 0.0, 0.4, 1.0))
+    return sorted(items, key=lambda x: (-sizes[x] * (1 - noise * rng.random()), x))
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """A child of ``a`` with whole well-filled containers of ``b``.
 
@@ -68,7 +74,7 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
             loose += [x for x in c if x not in inside]
     child = injected + kept
     fills = _fills(child, sizes)
-    best_fit(sorted(loose, key=lambda x: (-sizes[x], x)), sizes, capacity, child, fills)
+    best_fit(_order(loose, sizes, rng), sizes, capacity, child, fills)
     return child
 
 
@@ -101,15 +107,15 @@ def mutate(packing: Packing, sizes: list[int], capacity: int, rng: random.Random
                 break
         else:
             rest.append(x)
-    best_fit(sorted(rest, key=lambda x: (-sizes[x], x)), sizes, capacity, kept, own)
+    best_fit(_order(rest, sizes, rng), sizes, capacity, kept, own)
     return kept
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, deme: int = DEME, demes: int = DEMES, generations: int = GENERATIONS) -> Packing:
     """Pack one island's items, all of at most ``capacity``.
 
-    Each deme starts from best fit by falling size, the others of it from disturbed orders. A generation replaces each
-    deme's worst by children of its better ones; every fourth, the best individual of each deme migrates to the next.
+    Each deme starts from best fit by falling size and from disturbed orders. A generation replaces each deme's worst
+    by children of its better ones; every fourth, the best individual of each deme migrates to the next.
     Evolution ends early at the least possible number of containers.
     """
     if not sizes:
@@ -119,18 +125,18 @@ def evolve(sizes: list[int], capacity: int, seed: int, deme: int = DEME, demes:
 
     def start(noise: float) -> Packing:
         packing: Packing = []
-        best_fit(sorted(range(len(sizes)), key=lambda x: (-sizes[x] * (1 + noise * rng.random()), x)), sizes, capacity, packing, [])
+        best_fit(sorted(range(len(sizes)), key=lambda x: (-sizes[x] * (1 - noise * rng.random()), x)), sizes, capacity, packing, [])
         return packing
 
     first = start(0.0)
     if len(first) <= least or len(first) == 1:
         return first
     score = lambda p: (-len(p), fitness(_fills(p, sizes), capacity))
-    every = [sorted([(score(p), p) for p in [first, *(start(0.3) for _ in range(deme - 1))]], key=lambda s: s[0], reverse=True) for _ in range(demes)]
+    every = [sorted([(score(p), p) for p in [first, *(start(rng.choice((0.3, 1.0))) for _ in range(deme - 1))]], key=lambda s: s[0], reverse=True) for _ in range(demes)]
     for g in range(generations):
         for own in every:
             a, b = rng.sample(range(max(2, deme - 2)), 2)
-            children = [crossover(own[a][1], own[b][1], sizes, capacity, rng), mutate(own[0][1], sizes, capacity, rng)]
+            children = [crossover(own[a][1], own[b][1], sizes, capacity, rng), mutate(own[rng.randrange(3)][1], sizes, capacity, rng)]
             own[-len(children) :] = [(score(c), c) for c in children]
             own.sort(key=lambda s: s[0], reverse=True)
         if g % 4 == 3:

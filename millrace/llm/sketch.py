@@ -51,7 +51,8 @@ def likelihood_estimate(counts: np.ndarray, n_rows: int) -> tuple[np.ndarray, np
 
     With n members the bits are close to independent, rank j of a row being set with probability
     ``1 - exp(-n q_j)``, ``q_j = 2**-(j+1) / rows`` (twice the last one at the last rank). The log-likelihood is concave
-    in n; its root is found by bisection on a logarithmic scale. The variance is the inverse of the Fisher information.
+    in n; its root is found by bisection on a logarithmic scale. The variance is the inverse of the Fisher information,
+    less n: the bits are independent only if the number of members itself varies as a Poisson number, which it doesn't.
     """
     s = np.asarray(counts, dtype=float)
     q = 2.0 ** -(np.arange(RANKS) + 1) / n_rows
@@ -69,7 +70,7 @@ def likelihood_estimate(counts: np.ndarray, n_rows: int) -> tuple[np.ndarray, np
     n = np.where(s.sum(1) == 0, 0.0, np.exp((low + high) / 2))
     x = np.minimum(np.maximum(n, 1e-9)[:, None] * q, 700)
     information = (n_rows * q * q * np.exp(-x) / -np.expm1(-x)).sum(1)
-    return n, np.where(n > 0, 1 / np.sqrt(np.maximum(information, 1e-300)), 0.0)
+    return n, np.where(n > 0, np.sqrt(np.maximum(1 / np.maximum(information, 1e-300) - n, 0.0)), 0.0)
 
 
 def estimate(sketches: DataFrame, groups: list[str], n_rows: int = ROWS) -> DataFrame:
