@@ -29,7 +29,7 @@ def daily_user_rollup(spark: SparkSession, folder: str) -> DataFrame:
     e = _events(spark, folder)
     big = F.col("value") > 100
     rolled = e.groupBy("user_id", "day", "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 8).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"),
         latest(F.col("value"), F.col("ts"), F.col("event_id")).alias("last_value"), F.count_if(big).alias("n_big"), F.round(ratio_true(big), 6).alias("share_big"), count_positive(F.col("value")).alias("n_positive"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
     ranks = e.groupBy("user_id", "day").agg(nearest_rank(F.col("value"), 0.5).alias("p50"), nearest_rank(F.col("value"), 0.9).alias("p90"))
@@ -119,14 +119,14 @@ def rolling_mean_14d(spark: SparkSession, folder: str) -> DataFrame:
     daily = _events(spark, folder).groupBy("day").agg(F.sum("value").alias("v"))
     w = Window.orderBy("day").rowsBetween(-13, 0)  # one row per day
     full = F.count(F.lit(1)).over(w) == 14
-    return daily.select("day", F.round(F.when(full, F.avg("v").over(w)), 4).alias("mean_14d"), F.round(F.when(full, F.max("v").over(w)), 4).alias("max_14d"))
+    return daily.select("day", F.round(F.when(full, F.avg("v").over(w)), 8).alias("mean_14d"), F.round(F.when(full, F.max("v").over(w)), 4).alias("max_14d"))
 
 
 def weekday_engaged(spark: SparkSession, folder: str) -> DataFrame:
     """On weekdays, mean and median over users with at least 2 events of their value per event; the last day is left out [A41]."""
     e = _events(spark, folder).filter("weekday(day) < 5 AND day < '2024-01-30'")
     users = e.groupBy("day", "user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v")).filter("n >= 2")
-    return users.groupBy("day").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.median("v"), 4).alias("median"))
+    return users.groupBy("day").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("v"), 8).alias("mean"), F.round(F.median("v"), 8).alias("median"))
 
 
 def failure_share(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,7 +289,7 @@ def cpu_peaks(spark: SparkSession, folder: str) -> DataFrame:
     """The largest of the samples listed in each message's text, per file [P20 P18]."""
     samples = F.split(F.get_json_object("properties", "$.cpu_samples"), ",")
     peak = F.array_max(F.transform(samples, lambda x: x.try_cast("double")))
-    return load(spark, folder, "kite_status").select("prefix", peak.alias("peak")).groupBy("prefix").agg(F.count("peak").alias("n"), F.max("peak").alias("most"), F.round(F.avg("peak"), 4).alias("mean"))
+    return load(spark, folder, "kite_status").select("prefix", peak.alias("peak")).groupBy("prefix").agg(F.count("peak").alias("n"), F.max("peak").alias("most"), F.round(F.avg("peak"), 8).alias("mean"))
 
 
 def error_reasons(spark: SparkSession, folder: str) -> DataFrame:
@@ -317,7 +317,7 @@ pc AS (SELECT CAST(p AS INTEGER) AS pct, l[least(p * len(l) // 100, len(l) - 1)
 
 SQL: dict[str, str] = {
     "daily_user_rollup": f"""WITH e AS (SELECT *, {_DAY} AS day FROM events),
-a AS (SELECT user_id, day, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, arg_max(value, (ts, event_id)) AS last_value, CAST(count_if(value > 100) AS BIGINT) AS n_big, round(count_if(value > 100) / nullif(count(value), 0), 6) AS share_big, CASE WHEN count(value) > 0 THEN CAST(count_if(value > 0) AS BIGINT) END AS n_positive, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY ALL),
+a AS (SELECT user_id, day, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 8) AS mean, min(value) AS least, max(value) AS most, arg_max(value, (ts, event_id)) AS last_value, CAST(count_if(value > 100) AS BIGINT) AS n_big, round(count_if(value > 100) / nullif(count(value), 0), 6) AS share_big, CASE WHEN count(value) > 0 THEN CAST(count_if(value > 0) AS BIGINT) END AS n_positive, min(ts) AS first_ts, max(ts) AS last_ts FROM e GROUP BY ALL),
 b AS (SELECT user_id, day, list_sort(list(value)) AS l FROM e GROUP BY ALL)
 SELECT a.*, l[least(floor(len(l) * 0.5)::INT, len(l) - 1) + 1] AS p50, l[least(floor(len(l) * 0.9)::INT, len(l) - 1) + 1] AS p90 FROM a JOIN b USING (user_id, day)""",
     "user_flags": f"SELECT user_id, bool_or(event_type = 'error') AS had_error, bool_and(value > 0) AS always_positive, min(event_type) AS any_type, count(DISTINCT {_DAY}) AS days, count(DISTINCT CASE WHEN event_type = 'error' THEN {_DAY} END) AS error_days FROM events GROUP BY 1",
@@ -332,8 +332,8 @@ SELECT a.*, l[least(floor(len(l) * 0.5)::INT, len(l) - 1) + 1] AS p50, l[least(f
     "trailing_sums": f"WITH d AS (SELECT user_id, {_DAY} AS day, sum(value) AS v FROM events GROUP BY ALL) SELECT user_id, day, round(sum(v) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 4) AS sum_7d, round(sum(v) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 27 DAYS PRECEDING AND CURRENT ROW), 4) AS sum_28d FROM d",
     "incremental_rollup": f"SELECT user_id, CAST(coalesce(count(*) FILTER ({_DAY} >= DATE '2024-01-24'), 0) AS BIGINT) AS events_n, round(coalesce(sum(value) FILTER ({_DAY} >= DATE '2024-01-24'), 0), 3) AS value_sum, arg_max(event_type, (ts, event_id)) AS last_type FROM events WHERE {_DAY} BETWEEN DATE '2024-01-23' AND DATE '2024-01-30' GROUP BY 1",
     "main_event_by_value": "WITH s AS (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cents DESC, event_type) = 1",
-    "rolling_mean_14d": f"WITH d AS (SELECT {_DAY} AS day, sum(value) AS v FROM events GROUP BY 1) SELECT day, round(CASE WHEN count(*) OVER w = 14 THEN avg(v) OVER w END, 4) AS mean_14d, round(CASE WHEN count(*) OVER w = 14 THEN max(v) OVER w END, 4) AS max_14d FROM d WINDOW w AS (ORDER BY day ROWS 13 PRECEDING)",
-    "weekday_engaged": f"WITH u AS (SELECT {_DAY} AS day, user_id, count(*) AS n, avg(value) AS v FROM events WHERE isodow(ts) < 6 AND {_DAY} < DATE '2024-01-30' GROUP BY ALL HAVING count(*) >= 2) SELECT day, count(*) AS users, round(avg(v), 4) AS mean, round(median(v), 4) AS median FROM u GROUP BY 1",
+    "rolling_mean_14d": f"WITH d AS (SELECT {_DAY} AS day, sum(value) AS v FROM events GROUP BY 1) SELECT day, round(CASE WHEN count(*) OVER w = 14 THEN avg(v) OVER w END, 8) AS mean_14d, round(CASE WHEN count(*) OVER w = 14 THEN max(v) OVER w END, 4) AS max_14d FROM d WINDOW w AS (ORDER BY day ROWS 13 PRECEDING)",
+    "weekday_engaged": f"WITH u AS (SELECT {_DAY} AS day, user_id, count(*) AS n, avg(value) AS v FROM events WHERE isodow(ts) < 6 AND {_DAY} < DATE '2024-01-30' GROUP BY ALL HAVING count(*) >= 2) SELECT day, count(*) AS users, round(avg(v), 8) AS mean, round(median(v), 8) AS median FROM u GROUP BY 1",
     "failure_share": f"WITH c AS (SELECT {_DAY} AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY day), 6) AS part FROM c",
     "users_without_success": f"SELECT user_id, {_DAY} AS day, CAST(count_if(event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY ALL HAVING count_if(event_type = 'error') > 0 AND count_if(event_type = 'purchase') = 0",
     "spread_by_type": "WITH u AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, count(*) AS users, round(var_samp(m), 4) AS variance, round(stddev_pop(m), 4) AS deviation FROM u GROUP BY 1 HAVING count(*) >= 10",
@@ -361,6 +361,6 @@ SELECT c_custkey, orders_n, big_spender, round(urgent_share, 6) AS urgent_share,
     "price_histogram": "SELECT CAST(least(floor(o_totalprice / 25000), 19) AS INTEGER) AS bin, count(*) AS n, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1",
     "clean_ids": r"SELECT CASE WHEN regexp_matches(userid, '[\x00-\x1F\x7F]') THEN 'control' WHEN NOT regexp_full_match(userid, '[\x20-\x7E]*') THEN 'other' WHEN length(userid) < 4 THEN 'short' ELSE 'plain' END AS kind, count(*) AS n, count(DISTINCT userid) AS ids FROM kite_status WHERE userid IS NOT NULL GROUP BY 1",
     "active_messages": r"SELECT lower(trim(properties__os)) AS os, CAST(strptime(regexp_extract(properties__client_version, '^1\.(\d{8})\.', 1), '%Y%m%d') AS DATE) AS client_date, count(*) AS n FROM kite_status_normalized WHERE coalesce(properties__python_events, 0) + coalesce(properties__python_edit, 0) > 0 AND regexp_matches(properties__client_version, '^1\.\d{8}\.') GROUP BY ALL",
-    "cpu_peaks": "WITH s AS (SELECT prefix, list_max(list_transform(string_split(CASE WHEN json_valid(properties) THEN json_extract_string(properties, '$.cpu_samples') END, ','), lambda x: try_cast(x AS DOUBLE))) AS peak FROM kite_status) SELECT prefix, count(peak) AS n, max(peak) AS most, round(avg(peak), 4) AS mean FROM s GROUP BY 1",
+    "cpu_peaks": "WITH s AS (SELECT prefix, list_max(list_transform(string_split(CASE WHEN json_valid(properties) THEN json_extract_string(properties, '$.cpu_samples') END, ','), lambda x: try_cast(x AS DOUBLE))) AS peak FROM kite_status) SELECT prefix, count(peak) AS n, max(peak) AS most, round(avg(peak), 8) AS mean FROM s GROUP BY 1",
     "error_reasons": "SELECT prefix, CASE WHEN coalesce(userid, '') = '' THEN 'no user' WHEN coalesce(event, '') = '' THEN 'no event' WHEN NOT starts_with(coalesce(properties, ''), '{') THEN 'no object' ELSE 'good' END AS reason, count(*) AS n FROM kite_status GROUP BY ALL",
 }
