@@ -293,8 +293,10 @@ def kmeans_groups(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     v = load(spark, folder, "embeddings").filter("embedding IS NOT NULL").select("vec_id", array_to_vector("embedding").alias("features"))
-    out = KMeans(k=10, seed=7, maxIter=20).fit(v).transform(v)
     n = v.count()
+    if not n:
+        return spark.createDataFrame([], "cluster int, members bigint, weight double")
+    out = KMeans(k=10, seed=7, maxIter=20).fit(v).transform(v)
     return out.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("members"), F.round(F.count(F.lit(1)) / F.lit(n), 6).alias("weight"))
 
 
