@@ -272,7 +272,8 @@ def fit(examples: list[tuple[str, str]], documents: list[tuple[str, str | None]]
     examples' units, each with its text's label. Then, ``rounds`` times, they label the documents' units weakly: a unit
     by its own score where that is clear; an unclear one, at a lower weight, by the words of the document's path that the
     classifiers know and by the subject that most of its section (the text between headings) is clearly about. Units
-    of known, subject-free words are counter-examples. The thresholds are set on the examples held out.
+    of known, subject-free words are counter-examples. Texts whose label the others contradict are left out; the
+    thresholds are set on the examples' units. Without examples the model has no subjects.
     """
     subjects = sorted({s for _, s in examples})
     place = {s: i for i, s in enumerate(subjects)}
@@ -285,6 +286,8 @@ def fit(examples: list[tuple[str, str]], documents: list[tuple[str, str | None]]
                 seed_grams.append(hasher.grams(part))
                 seed_labels.append(place[s])
                 seed_doc.append(d)
+    if not seed_grams:  # nothing to learn from: a model without subjects
+        return Model([], {}, np.zeros((1, 0), np.float32), np.zeros(0, np.float32), np.zeros(0), openings)
     labels, doc = np.array(seed_labels), np.array(seed_doc)
 
     # units that say nothing carry their text's label too: what most other subjects also say is no evidence
@@ -406,6 +409,8 @@ def classify_batch(model: Model, hasher: Hasher, texts: list[str | None]) -> lis
     word of two subjects), the share of each in the text's clear parts adds to its evidence. A subject that no part is
     clearly about doesn't count. A unit counts once per subject.
     """
+    if not model.subjects:
+        return [{} for _ in texts]
     grams: list[list[int]] = []
     spans: list[tuple[int, int, int]] = []
     for i, t in enumerate(texts):

@@ -184,5 +184,7 @@ def test_subjects(spark):
     assert out[0].get("education") == 2 and out[0].get("cooking") == 1 and out[1:] == [{}, {}, {}]
     df = spark.createDataFrame([(1, two[0]), (2, None), (3, " "), (None, two[0])], "doc_id bigint, text string")
     assert sorted((r.doc_id or 0, r.subject, r.units) for r in subjects.document_subjects(df, model).collect()) == [(0, "education", 2), (1, "education", 2)]
+    nothing = subjects.fit([], docs[:20])
+    assert subjects.classify_batch(nothing, subjects.Hasher(nothing.slots), two) == [{}] * 4
     long = " ".join(["the loader reads one exam per line and groups them by essay"] * 3_000)
     assert subjects.classify_batch(model, subjects.Hasher(model.slots), [long])[0].get("education", 0) > 1_000
