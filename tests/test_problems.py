@@ -27,7 +27,7 @@ def test_times(spark):
 
 
 def test_ids_and_labels(spark):
-    df = spark.createDataFrame([("\x00a\x7fb\n", " Kite "), ("\x01", "  "), (None, None)], "u string, p string")
+    df = spark.createDataFrame([("\x00a\x7fb\n", " Plain "), ("\x01", "  "), (None, None)], "u string, p string")
     assert [tuple(r) for r in df.select(clean_user("u"), plain("p")).collect()] == [("ab", "plain"), (None, None), (None, None)]
     assert [r[0] for r in spark.createDataFrame([(1515373323,), (1515373323000,), (None,)], "t bigint").select(epoch_ms("t")).collect()] == [1515373323000, 1515373323000, None]
 
