@@ -56,3 +56,27 @@ def normalised(scores: DataFrame, group: list[str], score: str) -> DataFrame:
     e = F.exp(F.col(score) - F.max(score).over(w))
     dev, total = F.stddev_pop(score).over(w), F.sum(score).over(w)
     return scores.withColumn("_e", e).withColumns({"softmax": F.col("_e") / F.sum("_e").over(w), "z": F.when(dev > 0, (F.col(score) - F.avg(score).over(w)) / dev).otherwise(0.0), "part": F.when(total != 0, F.col(score) / total).otherwise(0.0)}).drop("_e")
+
+
+def near_cursor(docs: DataFrame, doc: str, text: str, line: str, size: int) -> DataFrame:
+    """Adds ``near``, the lines around a cursor line (from 1) with their emphasis: an array of ``(text, times)``.
+
+    The cursor's line has ``size`` times, one k lines away ``size - k``, down to 1. Null where the line isn't in the text.
+    """
+    lines = F.split(F.col(text), "\n")
+    inside = F.col(line).between(1, F.size(lines))
+    weighted = F.transform(lines, lambda t, i: F.struct(t.alias("text"), (F.lit(size) - F.abs(i + 1 - F.col(line))).cast("int").alias("times")))
+    return docs.withColumn("near", F.when(inside, F.filter(weighted, lambda w: w["times"] > 0)))
+
+
+def mixed_vectors(whole: DataFrame, local: DataFrame, doc: str, part: float) -> DataFrame:
+    """``doc, term, w, norm``: unit vectors of a text and of its neighbourhood of the cursor, mixed ``1 - part`` to ``part``.
+
+    Both inputs have ``doc, term, w, norm``; a term of one side counts as zero on the other, vectors of length zero add
+    nothing.
+    """
+    def scaled(v: DataFrame, by: float) -> DataFrame:
+        return v.select(doc, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm") * by).otherwise(0.0).alias("w"))
+
+    mixed = scaled(whole, 1 - part).unionByName(scaled(local, part)).groupBy(doc, "term").agg(F.sum("w").alias("w"))
+    return unit_vectors(mixed, doc, "w")

@@ -165,6 +165,15 @@ def test_retrieval(spark):
     assert [r.z for r in n] == [-1.0, 1.0, 0.0] and [r.part for r in n] == [0.25, 0.75, 1.0] and n[0].softmax == pytest.approx(1 / (1 + math.e**2))
 
 
+def test_cursor_mix(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd", 2), (2, "a", 5), (3, None, 1)], "d int, t string, at int")
+    got = {r.d: r.near and [tuple(x) for x in r.near] for r in R.near_cursor(df, "d", "t", "at", 2).collect()}
+    assert got == {1: [("a", 1), ("b", 2), ("c", 1)], 2: None, 3: None}
+    v = lambda rows: R.unit_vectors(spark.createDataFrame(rows, "d int, term string, w double"), "d", "w")
+    out = {r.term: (round(r.w, 6), round(r.norm, 6)) for r in R.mixed_vectors(v([(1, "x", 3.0), (1, "y", 4.0)]), v([(1, "y", 5.0)]), "d", 0.25).collect()}
+    assert out == {"x": (0.45, round((0.45**2 + 0.85**2) ** 0.5, 6)), "y": (0.85, round((0.45**2 + 0.85**2) ** 0.5, 6))}
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(float(i % 7),) for i in range(100)] + [(None,)], "v double")
     s = sorted(i % 7 for i in range(100))
