@@ -6,7 +6,7 @@ import html
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,15 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: Hash buckets for word n-grams; the model holds weights only for those met when it was fitted.
 BUCKETS = 1 << 32
-#: An n-gram in at least this many of the fitting documents, of which no subject is, beyond chance, the main one of more
-#: than this share, is common matter (headings, courtesies, keywords) and no evidence; nor is a rarer pair of words.
-COMMON_DOCUMENTS, COMMON_SHARE = 5, 0.22
-#: The classifiers are fitted on the examples and on units of at most this many documents, drawn by a hash of the id.
+#: An n-gram in at least COMMON_PART of all documents, of which no subject is, beyond chance, the main one of more than
+#: COMMON_SHARE, is common matter (headings, courtesies, keywords) and no evidence; nor is a rarer pair of words. Of few
+#: documents it takes COMMON_DOCUMENTS, the least from which one subject shows beyond chance.
+COMMON_PART, COMMON_DOCUMENTS, COMMON_SHARE = 0.00125, 5, 0.22
+#: A word that labels an unclear unit by its section is in at least this part of all documents, and in so many of few.
+KNOWN_PART, KNOWN_DOCUMENTS = 0.00075, 3
+#: The weights are fitted on the examples and on the units of at most this many whole documents, drawn by a hash of the
+#: id. Sentence openings and the documents of an n-gram are counted over all documents.
 FIT_DOCUMENTS = 4_000
-#: Of a drawn document at most this many characters are used to fit; all of every text is classified.
-FIT_CHARACTERS = 20_000
+#: A sentence opening starts at least this part of the sentences it is learnt from, so there are at most 4 / OPENING_PART.
+OPENING_PART = 0.00013
+#: Openings that a task holds before it passes their counts on.
+HELD_OPENINGS = 200_000
 #: A text is about a subject if at least this many of its units are.
 MIN_UNITS = 2
 
@@ -158,24 +166,68 @@ def _tokens(sentence: str) -> list[str]:
     return ["0" if t.isdigit() else t for t in _TOKEN.findall(sentence.lower())]
 
 
-def learn_openings(texts: Iterable[str], least: int = 4, share: float = 0.8) -> frozenset:
-    """Word patterns that stand at the start of a sentence in at least ``share`` of their occurrences.
-
-    Learnt from sentences of at most LONG_WORDS words, whose starts punctuation and lines show.
-    """
-    starts: Counter = Counter()
-    inside: Counter = Counter()
+def _sentences(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The tokens of the texts' sentences of 4 to LONG_WORDS words, whose starts punctuation and lines show."""
     for text in texts:
         for parts in units(readable(text)):
             if len(parts) != 1:
                 continue
             ts = _tokens(re.sub(r"^\s*(?:[-*]\s+(?:`[^`]*`\s*\(\w+\):)?|#+\s*|\w+: |wip )", "", parts[0]))
-            if not 4 <= len(ts) <= LONG_WORDS:
-                continue
-            starts.update(_openings(ts) or ())
-            for i in range(1, len(ts) - 3):
-                inside.update(_openings(ts[i : i + 4]))
-    return frozenset(p for p, n in starts.items() if n >= least and n >= share * (n + inside[p]))
+            if 4 <= len(ts) <= LONG_WORDS:
+                yield ts
+
+
+def _inside(sentences: Iterable[list[str]], wanted: frozenset) -> Iterator[tuple]:
+    """The occurrences of wanted patterns after the start of a sentence."""
+    firsts = {p[1] for p in wanted}
+    for ts in sentences:
+        for i in range(1, len(ts) - 3):
+            if ts[i] in firsts:
+                yield from wanted.intersection(_openings(ts[i : i + 4]))
+
+
+def learn_openings(texts: Iterable[str], least: int = 4, share: float = 0.8, part: float = OPENING_PART) -> frozenset:
+    """Word patterns that stand at the start of a sentence in at least ``share`` of their occurrences.
+
+    Learnt from sentences of at most LONG_WORDS words; a pattern starts at least ``part`` of them and ``least``.
+    """
+    sentences = list(_sentences(texts))
+    starts = Counter(p for ts in sentences for p in _openings(ts))
+    often = frozenset(p for p, n in starts.items() if n >= max(least, part * len(sentences)))
+    inside = Counter(_inside(sentences, often))
+    return frozenset(p for p in often if starts[p] >= share * (starts[p] + inside[p]))
+
+
+def openings_of(texts: DataFrame, least: int = 4, share: float = 0.8, part: float = OPENING_PART) -> frozenset:
+    """:func:`learn_openings` over the one column of a table: starts are counted first, then what starts often inside."""
+    spark = texts.sparkSession
+
+    def counted(patterns: Callable[[Iterable[str]], Iterator[tuple]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: Counter = Counter()
+            for b in batches:
+                for text in b.column(0).to_pylist():
+                    held.update(patterns([text]))
+                    if len(held) > HELD_OPENINGS:
+                        yield flushed(held)
+            yield flushed(held)
+
+        def flushed(held: Counter) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"opening": pa.array([" ".join(p) for p in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+            held.clear()
+            return out
+
+        return texts.mapInArrow(run, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n"))
+
+    # the empty pattern counts the sentences
+    starts = cut(counted(lambda ts: (p for s in _sentences(ts) for p in ((), *_openings(s)))).filter(F.col("n") >= least))
+    sentences = starts.filter("opening = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    often = {tuple(r.opening.split(" ")): r.n for r in starts.filter((F.col("opening") != "") & (F.col("n") >= max(least, part * sentences))).collect()}
+    if not often:
+        return frozenset()
+    shared = spark.sparkContext.broadcast(frozenset(often))
+    inside = {tuple(r.opening.split(" ")): r.n for r in counted(lambda ts: _inside(_sentences(ts), shared.value)).collect()}
+    return frozenset(p for p, n in often.items() if n >= share * (n + inside.get(p, 0)))
 
 
 def cut_long(sentence: str, openings: frozenset) -> list[str]:
@@ -265,7 +317,12 @@ def path_words(path: str | None) -> list[str]:
     return words(path.rpartition(".")[0] or path) if path else []
 
 
-def fit(examples: list[tuple[str, str]], documents: list[tuple[str, str | None]], rounds: int = 2) -> Model:
+#: For a model, by line the number of documents with a main subject that have the line's n-gram, and of how many of
+#: them one subject is the main one; and the number of documents.
+Spread = Callable[[Model], tuple[np.ndarray, np.ndarray, int]]
+
+
+def fit(examples: list[tuple[str, str]], documents: list[tuple[str, str | None]], rounds: int = 2, openings: frozenset | None = None, spread: Spread | None = None) -> Model:
     """Fit on labelled texts and, by weak labels, on unlabelled ones.
 
     ``examples`` are ``(text, subject)``, ``documents`` ``(text, path)``. First the classifiers are fitted on the
@@ -273,11 +330,13 @@ def fit(examples: list[tuple[str, str]], documents: list[tuple[str, str | None]]
     by its own score where that is clear; an unclear one, at a lower weight, by the words of the document's path that the
     classifiers know and by the subject that most of its section (the text between headings) is clearly about. Units
     of known, subject-free words are counter-examples. Texts whose label the others contradict are left out; the
-    thresholds are set on the examples' units. Without examples the model has no subjects.
+    thresholds are set on the examples' units. Without examples the model has no subjects. Where the documents are a
+    sample, ``openings`` and ``spread`` bring what is counted over all; else it is counted over ``documents``.
     """
     subjects = sorted({s for _, s in examples})
     place = {s: i for i, s in enumerate(subjects)}
-    openings = learn_openings([t for t, _ in examples] + [t for t, _ in documents])
+    if openings is None:
+        openings = learn_openings([t for t, _ in examples] + [t for t, _ in documents])
     hasher = Hasher()
     seed_grams, seed_labels, seed_doc = [], [], []
     for d, (text, s) in enumerate(examples):
@@ -313,7 +372,7 @@ def fit(examples: list[tuple[str, str]], documents: list[tuple[str, str | None]]
         if own:
             texts.append((own, path_words(path)))
     for _ in range(rounds):
-        model = _refit(model, seed_grams, labels, texts, hasher, openings)
+        model = _refit(model, seed_grams, labels, texts, hasher, openings, len(documents), spread)
     model.thresholds = _calibrate(model, seed_grams, labels)
     return model
 
@@ -334,13 +393,66 @@ def _sectioned(text: str, openings: frozenset) -> Iterator[list[tuple[int, list[
             yield [(section, part) for part in unit]
 
 
-def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list, hasher: Hasher, openings: frozenset) -> Model:
+def _widened(model: Model, buckets: set[int]) -> Model:
+    """The model with a line for each of the buckets, zero for those that had none."""
+    slots = {k: i for i, k in enumerate(sorted(buckets), 1)}
+    w = np.zeros((len(slots) + 1, len(model.subjects)), np.float32)
+    for k, i in model.slots.items():
+        if k in slots:
+            w[slots[k]] = model.weights[i]
+    return Model(model.subjects, slots, w, model.bias, model.thresholds, model.openings)
+
+
+def _add_main(model: Model, grams: list[list[int]], counts: np.ndarray) -> None:
+    """Count a document's n-grams, given as lines, under the subject that most of its parts are clearly about, if any."""
+    if grams:
+        whole = _clear(model.scores(grams)).sum(0)
+        if whole.max() > 0:
+            counts[np.unique(np.fromiter((k for g in grams for k in g), np.int64)), whole.argmax()] += 1
+
+
+def spread_of(documents: DataFrame, text: str = "text") -> Spread:
+    """What ``fit`` counts of n-grams, over all documents of a table, whole texts read.
+
+    Only n-grams with a line in the model are counted, which are those of the fitting sample: a task holds one number
+    for each and each subject.
+    """
+    spark = documents.sparkSession
+    texts = documents.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    n_docs = texts.count()
+
+    def spread(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            hasher = Hasher(model.slots)
+            counts = np.zeros(model.weights.shape, np.int32)
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    _add_main(model, [hasher.grams(part) for unit in _sectioned(t, model.openings) for _, part in unit], counts)
+            lines, subjects = counts.nonzero()
+            for at in range(0, len(lines), 100_000):
+                own = lines[at : at + 100_000], subjects[at : at + 100_000]
+                yield pa.RecordBatch.from_pydict({"line": pa.array(own[0], pa.int32()), "subject": pa.array(own[1], pa.int32()), "n": pa.array(counts[own], pa.int64())})
+
+        by_subject = texts.mapInArrow(run, "line int, subject int, n bigint").groupBy("line", "subject").agg(F.sum("n").alias("n"))
+        found = by_subject.groupBy("line").agg(F.sum("n").alias("total"), F.max("n").alias("most")).toArrow()
+        total, most = np.zeros((2, len(model.weights)), np.int64)
+        lines = found["line"].to_numpy()
+        total[lines], most[lines] = found["total"].to_numpy(), found["most"].to_numpy()
+        shared.unpersist()
+        return total, most, n_docs
+
+    return spread
+
+
+def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list, hasher: Hasher, openings: frozenset, n_docs: int, spread: Spread | None) -> Model:
     grams = list(seed_grams)
     # a part of an example in which its subject has no evidence is a counter-example
     z = model.scores(seed_grams, hashed=True)
     labels = list(np.where(z[np.arange(len(z)), seed_labels] >= NONE, seed_labels, -1))
     weight = [1.0] * len(grams)
-    main: dict[int, Counter] = defaultdict(Counter)  # n-gram -> main subjects of the documents that have it
     read: list[tuple] = []
     singles: set[int] = set()
     pairs: set[int] = {k for g in seed_grams for k in g[len(g) // 2 + 1 :]}
@@ -354,20 +466,23 @@ def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list,
         votes: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(model.subjects)))
         for (section, _), a in zip(parts, about):
             votes[section] += a
-        whole = sum(votes.values())
-        if whole.max() > 0:
-            for k in {k for g in gs for k in g}:
-                main[k][int(whole.argmax())] += 1
         if path:
             zp = model.scores([hasher.grams(path)], hashed=True)
             for v in votes.values():
                 v += _clear(zp)[0]
         read.append((parts, gs, z, about, votes))
-    common = set()
-    for k in singles | pairs:
-        n, most = main[k].total(), max(main[k].values(), default=0)
-        if n >= COMMON_DOCUMENTS and most - 1.65 * most**0.5 <= COMMON_SHARE * n or n < COMMON_DOCUMENTS and k not in singles:
-            common.add(k)
+    wide = _widened(model, singles | pairs | model.slots.keys())
+    if spread is None:
+        counts = np.zeros(wide.weights.shape, np.int32)
+        for _, gs, *_ in read:
+            _add_main(wide, [[wide.slots[k] for k in g] for g in gs], counts)
+        total, most = counts.sum(1), counts.max(1)
+    else:
+        total, most, n_docs = spread(wide)
+    often = total >= max(COMMON_DOCUMENTS, COMMON_PART * n_docs)
+    anywhere = often & (most - 1.65 * most**0.5 <= COMMON_SHARE * total)
+    common = {k for k in singles | pairs if anywhere[i := wide.slots[k]] or not often[i] and k not in singles}
+    known = {k for k in singles - common if total[wide.slots[k]] >= max(KNOWN_DOCUMENTS, KNOWN_PART * n_docs)}
     for parts, gs, z, about, votes in read:
         for (section, _), g, zs, a in zip(parts, gs, z, about):
             v = votes[section]
@@ -375,7 +490,7 @@ def _refit(model: Model, seed_grams: list, seed_labels: np.ndarray, texts: list,
                 grams.append(g), labels.append(int(zs.argmax())), weight.append(1.0)
             elif zs.max() < NONE and common.issuperset(g[: len(g) // 2 + 1]):
                 grams.append(g), labels.append(-1), weight.append(1.0)
-            elif v.max() >= 2 and v.max() >= 0.7 * v.sum() and any(k not in common and main[k].total() >= 3 for k in g[: len(g) // 2 + 1]):
+            elif v.max() >= 2 and v.max() >= 0.7 * v.sum() and any(k in known for k in g[: len(g) // 2 + 1]):
                 grams.append(g), labels.append(int(v.argmax())), weight.append(0.3)
     slots, w, b = fit_linear(grams, np.array(labels), np.array(weight), len(model.subjects), frozenset(common))
     return Model(model.subjects, slots, w, b, model.thresholds, openings)
@@ -438,10 +553,15 @@ def classify_batch(model: Model, hasher: Hasher, texts: list[str | None]) -> lis
 
 
 def fit_from(examples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", fit_documents: int = FIT_DOCUMENTS) -> Model:
-    """Fit on all examples and on at most ``fit_documents`` documents, those with the smallest hashes of their ids."""
-    labelled = [(r.text, r.subject) for r in examples.select("text", F.lower(F.trim("subject")).alias("subject")).filter("text IS NOT NULL AND trim(text) <> '' AND subject <> ''").collect()]
-    some = documents.filter(F.col(text).isNotNull()).select(F.xxhash64(doc_id).alias("h"), F.substring(text, 1, FIT_CHARACTERS).alias("t"), F.col(path).alias("p")).orderBy("h").limit(fit_documents).collect()
-    return fit(sorted(labelled), [(r.t, r.p) for r in some])
+    """Fit on all examples; weights also on at most ``fit_documents`` whole documents, those with the smallest hashes of
+    their ids. Sentence openings and the documents of n-grams are counted over all documents."""
+    given = examples.select("text", F.lower(F.trim("subject")).alias("subject")).filter("text IS NOT NULL AND trim(text) <> '' AND subject <> ''")
+    if not (labelled := [(r.text, r.subject) for r in given.collect()]):
+        return fit([], [], openings=frozenset())
+    there = documents.filter(F.col(text).isNotNull())
+    openings = openings_of(given.select("text").unionByName(there.select(F.col(text).alias("text"))))
+    some = there.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t"), F.col(path).alias("p")).orderBy("h").limit(fit_documents).collect()
+    return fit(sorted(labelled), [(r.t, r.p) for r in some], openings=openings, spread=spread_of(documents, text))
 
 
 def subject_units(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

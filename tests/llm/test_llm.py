@@ -188,3 +188,26 @@ def test_subjects(spark):
     assert subjects.classify_batch(nothing, subjects.Hasher(nothing.slots), two) == [{}] * 4
     long = " ".join(["the loader reads one exam per line and groups them by essay"] * 3_000)
     assert subjects.classify_batch(model, subjects.Hasher(model.slots), [long])[0].get("education", 0) > 1_000
+
+
+def test_subjects_count_all_documents(spark):
+    ex = load(spark, FOLDER, "subject_examples")
+    tail = "x" * 20_000 + ". " + "Zorbly quixents marn every dolt. " * 40
+    docs = load(spark, FOLDER, "documents").select("doc_id", "text", "path").union(spark.createDataFrame([(-1, tail, None)], "doc_id bigint, text string, path string"))
+    texts = [r.text for r in docs.filter("text IS NOT NULL").collect()]
+    model = subjects.fit_from(ex, docs, fit_documents=20)
+    said = [r.text for r in ex.filter("trim(text) <> '' AND trim(subject) <> ''").collect()]
+    assert model.openings == subjects.learn_openings(said + texts) and ("2", "zorbly", "quixents") in model.openings
+
+    total, most, n = subjects.spread_of(docs)(model)
+    hasher, counts = subjects.Hasher(model.slots), {}
+    for t in texts:
+        grams = [hasher.grams(part) for unit in subjects.text_units(t, model.openings) for part in unit]
+        main = subjects._clear(model.scores(grams)).sum(0)
+        for k in {k for g in grams for k in g if main.max() > 0}:
+            counts.setdefault(k, Counter())[int(main.argmax())] += 1
+    assert n == len(texts) and total[1:].max() > 20
+    assert all((total[k], most[k]) == ((c := counts.get(k, Counter())).total(), max(c.values(), default=0)) for k in range(1, len(total)))
+    whole = subjects.fit_from(ex, docs, fit_documents=10_000)
+    local = subjects.fit(sorted((r.text, r.s) for r in ex.selectExpr("text", "lower(trim(subject)) AS s").filter("trim(text) <> '' AND s <> ''").collect()), [(r.text, r.path) for r in docs.filter("text IS NOT NULL").orderBy(F.xxhash64("doc_id")).collect()])
+    assert whole.slots == local.slots and np.allclose(whole.weights, local.weights) and whole.openings == local.openings
