@@ -208,7 +208,7 @@ def merges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parts_together(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts in one order, pairs counted inside the order's short list [A26 J12]."""
+    """Parts in one order, pairs counted inside the order's short list; as in the SQL, only pairs of two orders or more [A26 J12]."""
     baskets = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return baskets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
