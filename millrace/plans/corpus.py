@@ -215,7 +215,7 @@ def parts_together(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def context_probability(spark: SparkSession, folder: str) -> DataFrame:
-    """P(ship line status | return flag, discount), and with the levels above [A28 A27]."""
+    """Lines and distinct orders by return flag and ship line status, with the levels above; counts, not probabilities [A27]."""
     c = load(spark, folder, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"))
     return c.select("l_returnflag", "l_linestatus", "n", "orders")
 
@@ -288,7 +288,7 @@ def calibration(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kmeans_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """K-means of the embeddings: cluster, members and weight [M1 M2]."""
+    """K-means of the embeddings: cluster, members and weight [M1]."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
