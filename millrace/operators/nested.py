@@ -34,7 +34,7 @@ def as_array(value: object) -> list | None:
     """The array a value is: itself, or the one whose text a string holds."""
     if isinstance(value, list):
         return value
-    if isinstance(value, str) and value[:64].lstrip()[:1] == "[":
+    if isinstance(value, str) and value.lstrip()[:1] == "[":
         try:
             found = json.loads(value)
         except (ValueError, RecursionError):

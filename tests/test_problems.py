@@ -233,3 +233,8 @@ def test_features(spark, tmp_path):
     assert wide["hot"].event["x"].n == next(w[3] for w in want if w[:3] == ("hot", "event", "x"))
     last = spark.read.parquet(f"{at}/rows").groupBy("entity").agg(F.max_by("n", "batch").alias("n")).collect()
     assert {r.entity: r.n for r in last} == {r.entity: r.n for r in wide.values()}
+
+
+def test_array_text_after_blanks():
+    record = {"a": " \n" * 100 + '[{"b": 1}]', "c": " " * 100 + "no array"}
+    assert [n[0] for n in label(record, set())] == ["", "a[0]"]
