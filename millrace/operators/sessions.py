@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 GAP_MS = 1_800_000
 
 
@@ -39,8 +41,8 @@ def sessions(events: DataFrame, key: str, ms: str, gap_ms: int = GAP_MS, message
     session, even if the message was delivered with several times; an empty input gives no rows. Columns of the input
     other than those named are ignored, so their names may clash with the result's.
 
-    The batch run is complete, so the watermark has passed every event; :mod:`millrace.streaming.sessions` runs the
-    same merge as a stream with late events.
+    This is the batch form, which also counts messages; :mod:`millrace.streaming.sessions` keeps the merged intervals
+    as state under a watermark.
     """
     cols = [F.col(key).alias("_key"), F.col(ms).cast("bigint").alias("_ms")]
     if message is not None:
@@ -52,7 +54,7 @@ def sessions(events: DataFrame, key: str, ms: str, gap_ms: int = GAP_MS, message
 
     # a message is counted in its first cell; the few that reach into further cells are settled by session below
     slot = (F.col("_ms") - F.pmod(F.col("_ms"), F.lit(gap_ms))).alias("_slot")
-    spread = usable.groupBy("_key", "_message", slot).agg(F.min("_ms").alias("_first"), F.max("_ms").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    spread = cut(usable.groupBy("_key", "_message", slot).agg(F.min("_ms").alias("_first"), F.max("_ms").alias("_last"), F.count(F.lit(1)).alias("_n")))  # read for the cells, twice, and for what repeats
     cells = spread.groupBy("_key", "_slot").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n"), F.count("_message").alias("_messages"))
     merged = merge_cells(cells, "_key", gap_ms, "_n", "_messages")
     repeated = spread.filter("_message IS NOT NULL").groupBy("_key", "_message").agg(F.collect_set("_slot").alias("_slots"), F.min("_first").alias("_from")).filter(F.size("_slots") > 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.clean import clean_user, epoch_ms, instant_ms, plain, strip
@@ -12,7 +12,9 @@ from millrace.operators.changes import replay_changes
 from millrace.operators.drift import catalogue, consistent_table, file_fields, schema_changes
 from millrace.operators.nested import nested_nodes
 from millrace.operators.sessions import sessions
-from millrace.streaming.features import ANY, feature_rows, stream_features
+from millrace.session import scratch_dir
+from millrace.streaming.features import ANY, long_form, read_table_stream, stream_features
+from millrace.streaming.sessions import run_sessions
 from millrace.tables import load
 
 HOUR_MS = 3_600_000
@@ -21,18 +23,19 @@ TOTALS = ["properties__python_events", "properties__completions_shown", "propert
 PROFILE = ["user_id", "plan", "country_code", "os", "windows_domain_membership", "cio_experiment_trial_end_v1", "editors"]
 
 
-def _heartbeats(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "kite_status").select(clean_user("userid").alias("userid"), instant_ms("timestamp").alias("ms"), F.nullif("messageid", F.lit("")).alias("messageid"))
+def _beats(raw: DataFrame) -> DataFrame:
+    return raw.select(clean_user("userid").alias("userid"), instant_ms("timestamp").alias("ms"), F.nullif("messageid", F.lit("")).alias("messageid"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every session of every user: cleaned user, first and last time."""
-    return sessions(_heartbeats(spark, folder), "userid", "ms").select("userid", "start_ms", "end_ms")
+    stream = _beats(read_table_stream(spark, folder, "kite_status"))
+    return run_sessions(stream, scratch_dir(spark), "userid", "ms").select("userid", "start_ms", "end_ms")
 
 
 def p2_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions with duration, rows and distinct messages."""
-    return sessions(_heartbeats(spark, folder), "userid", "ms", message="messageid")
+    return sessions(_beats(load(spark, folder, "kite_status")), "userid", "ms", message="messageid")
 
 
 def _messages(raw: DataFrame) -> DataFrame:
@@ -42,26 +45,31 @@ def _messages(raw: DataFrame) -> DataFrame:
     )
 
 
-def _counters(spark: SparkSession, folder: str) -> DataFrame:
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
     return stream_features(spark, folder, "kite_status_normalized", _messages, "userid", "ms", "messageid", FEATURES, TOTALS)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values a user gave up: in at least 4 messages, the last more than 48 hours before the user's last message."""
-    own_last = F.max(F.when(F.col("field") == ANY, F.col("last_ms"))).over(Window.partitionBy("entity"))
-    stale = _counters(spark, folder).withColumn("_own", own_last).filter(f"field <> '{ANY}' AND n >= 4").filter(F.col("last_ms") < F.col("_own") - 48 * HOUR_MS)
-    return stale.select(F.col("entity").alias("userid"), "field", "val")
+    rows = _rows(spark, folder).withColumnRenamed("last_ms", "_own")
+
+    def given_up(f: str) -> Column:
+        stale = F.map_filter(f, lambda _, c: (c["n"] >= 4) & (c["last_ms"] < F.col("_own") - 48 * HOUR_MS))
+        return F.transform(F.coalesce(F.map_keys(stale), F.array().cast("array<string>")), lambda v: F.struct(F.lit(f).alias("field"), v.alias("val")))
+
+    each = [given_up(f) for f in FEATURES]
+    return rows.select(F.col("entity").alias("userid"), F.explode(F.concat(*each)).alias("_e")).select("userid", "_e.field", "_e.val")
 
 
 def p3_features(spark: SparkSession, folder: str) -> DataFrame:
     """One feature row per user, in long form: count, last time and totals of each kind of value."""
-    return _counters(spark, folder).withColumnRenamed("entity", "userid")
+    return long_form(_rows(spark, folder), list(FEATURES), TOTALS).withColumnRenamed("entity", "userid")
 
 
 def p3_feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One wide row per user with a map per field, as JSON texts."""
-    rows = feature_rows(_counters(spark, folder), TOTALS)
-    return rows.select(F.col("entity").alias("userid"), *[F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes if c != "entity"])
+    rows = _rows(spark, folder)
+    return rows.select(F.col("entity").alias("userid"), *[F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c)))).alias(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes if c != "entity"])
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -50,16 +51,31 @@ _local: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, single machine) a temporary folder of this machine is used.
+    Only where that setting is absent and the session is local (tests, a single machine) a temporary folder of this
+    machine is used; on a cluster executors couldn't read each other's, so there the setting is needed. What this
+    application has put into its folders is deleted when it ends; ``keep`` in :func:`cut` names a folder that stays.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
-        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="millrace-")
             atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-        base = f"file://{_local[app]}"
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+        return f"file://{_local[app]}/millrace-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/millrace-{app}"
+    if app not in _shared:
+        _shared.add(app)
+        atexit.register(_clean, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+_shared: set[str] = set()
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a session that was stopped before can delete nothing
+        remove_dir(spark, path)
 
 
 def cut(df: DataFrame, keep: str | None = None) -> DataFrame:
@@ -70,8 +86,18 @@ def cut(df: DataFrame, keep: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by Hadoop's file system layer."""
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
