@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.skew import HotKeys
+from millrace.session import cut
+
 #: A key with more changes than this is replayed in several runs whose outcomes are replayed once more.
 RUN_ROWS = 50_000
 
@@ -72,10 +75,8 @@ def replay_changes(changes: DataFrame, key: str, at: str, seq: str, op: str, col
     usable = usable.filter("_k IS NOT NULL AND _t IS NOT NULL AND _s IS NOT NULL AND _op IN ('i', 'u', 'd')")
     payload = F.struct(*[F.col(f"_c_{i}") for i in range(len(columns))]) if columns else F.struct(F.lit(None).cast("string"))
 
-    # the keys of more than run_rows changes: at most rows / run_rows of them
-    counts = usable.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > run_rows)
-    hot = counts.select("_k", F.ceil(F.col("_n") / run_rows).cast("int").alias("_runs"))
-    dealt = usable.withColumn("_p", F.to_json(payload)).join(hot, "_k", "left").withColumn("_run", F.when(F.col("_runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("_t", "_s"), F.col("_runs")).cast("int"))).drop("_runs")
+    hot = HotKeys(usable, F.col("_k"), run_rows)
+    dealt = hot.salted(usable.withColumn("_p", F.to_json(payload)), F.xxhash64("_t", "_s"), "_run")
 
     outcome = T.StructType(
         [T.StructField("_k", changes.schema[key].dataType), T.StructField("_t", T.LongType()), T.StructField("_s", T.LongType()), T.StructField("_op", T.StringType()), T.StructField("_ct", T.LongType()), T.StructField("_cs", T.LongType())]
@@ -119,7 +120,10 @@ def replay_changes(changes: DataFrame, key: str, at: str, seq: str, op: str, col
 
     ordered = dealt.repartition("_k", "_run").sortWithinPartitions("_k", "_run", "_t", "_s", "_p").drop("_p")
     runs = ordered.mapInArrow(first, outcome)
-    whole = runs.repartition("_k").sortWithinPartitions("_k").mapInArrow(second, outcome)
+    whole = runs
+    if hot.any:  # only the outcomes of split keys meet again
+        cold, split = hot.parted(cut(runs))
+        whole = cold.unionByName(split.repartition("_k").sortWithinPartitions("_k").mapInArrow(second, outcome))
     alive = whole if tombstones else whole.filter("_op <> 'd'")
     extra = [F.col("_op").alias("op")] if tombstones else []
     return alive.select(F.col("_k").alias(key), F.col("_t").alias(at), F.col("_s").alias(seq), *extra, *[F.col(f"_v_{i}.v").alias(c) for i, c in enumerate(columns)])

@@ -17,11 +17,13 @@ from millrace.session import cut
 
 TYPES = ("string", "number", "boolean", "array", "object")
 #: In a chunk of a file, paths on less than this share of its rows aren't reported; the error this leaves is known.
-CHUNK_SHARE = 1 / 16
+CHUNK_SHARE = 1 / 256
 #: Users seen on both sides, share of them with the same value, and that share beyond chance that make a rename.
 MIN_USERS, SAME, BEYOND_CHANCE = 3, 0.8, 0.5
-#: Up to this many files the list of fields to compare is sent to all executors.
-BROADCAST_FILES = 100_000
+#: Up to so many characters the list of fields to compare is sent to all executors.
+BROADCAST_CHARACTERS = 32_000_000
+#: A pair of fields corresponds if its flooded score is at least this share of the best score of either.
+RELATIVE = 0.75
 
 _COUNTS = "file string, path string, " + ", ".join(f"n_{t} bigint" for t in TYPES) + ", covered bigint"
 
@@ -147,7 +149,7 @@ def carried_values(records: DataFrame, file: str, text: str, user: str, ms: str,
     sides = moved.groupBy("pair", "earlier").agg(F.collect_set(F.when(F.col("after").isNull(), F.col("path"))).alias("gone"), F.collect_set(F.when(F.col("before").isNull(), F.col("path"))).alias("come")).filter("size(gone) > 0 AND size(come) > 0")
     wants = sides.select(F.col("earlier").alias("file"), F.struct("pair", F.lit(0).alias("side"), F.col("gone").alias("paths")).alias("w")).unionByName(sides.select(F.col("pair").alias("file"), F.struct("pair", F.lit(1).alias("side"), F.col("come").alias("paths")).alias("w")))
     wanted = cut(wants.groupBy("file").agg(F.collect_list("w").alias("wants")))
-    if wanted.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+    if wanted.agg(F.coalesce(F.sum(F.length(F.to_json("wants")) + F.length("file")), F.lit(0))).first()[0] <= BROADCAST_CHARACTERS:
         wanted = F.broadcast(wanted)
     given = records.select(F.col(file).cast("string").alias("file"), F.col(user).alias("user"), F.col(ms).alias("ms"), F.col(text).cast("string").alias("text")).filter("user IS NOT NULL AND ms IS NOT NULL AND text IS NOT NULL")
 
@@ -229,7 +231,7 @@ def flood(before: dict[str, str], after: dict[str, str], evidence: dict[tuple[st
     def typing(names: list[str], kinds: dict[str, str]) -> np.ndarray:
         return np.array([[float(kinds[n] == t) for t in TYPES] for n in names])
 
-    start = np.array([[0.5 * name_likeness(b.rpartition(".")[2], a.rpartition(".")[2]) + 0.5 * evidence.get((b, a), float(a == b)) for a in as_] for b in bs])
+    start = np.array([[0.25 * name_likeness(b.rpartition(".")[2], a.rpartition(".")[2]) + 0.75 * evidence.get((b, a), float(a == b)) for a in as_] for b in bs])
     pb, pa_, tb, ta = nesting(bs), nesting(as_), typing(bs, before), typing(as_, after)
     children = np.maximum(pb.sum(0), 1)[:, None] * np.maximum(pa_.sum(0), 1)[None, :]
     of_type = np.maximum(tb.sum(0)[:, None] * ta.sum(0)[None, :], 1)
@@ -249,29 +251,47 @@ def flood(before: dict[str, str], after: dict[str, str], evidence: dict[tuple[st
     return bs, as_, score
 
 
+def correspond(before: dict[str, str], after: dict[str, str], evidence: dict[tuple[str, str], float]) -> list[tuple[str, str, float]]:
+    """Which field that goes corresponds to which that comes, by flooded scores alone: ``(gone, come, score)``.
+
+    Pairs are taken best score first, each field once, as long as the score is at least RELATIVE of the best score that
+    either field has with any field of the other kind.
+    """
+    bs, as_, score = flood(before, after, evidence)
+    rows, cols = [i for i, b in enumerate(bs) if b not in after], [j for j, a in enumerate(as_) if a not in before]
+    if not rows or not cols:
+        return []
+    own = score[np.ix_(rows, cols)]
+    best = np.maximum(own.max(1)[:, None], own.max(0)[None, :])
+    out: list[tuple[str, str, float]] = []
+    used: set[tuple[int, int]] = set()
+    for i, j in sorted(np.ndindex(*own.shape), key=lambda x: (-own[x], x)):
+        if own[i, j] >= RELATIVE * best[i, j] and own[i, j] > 0 and (0, i) not in used and (1, j) not in used:
+            used |= {(0, i), (1, j)}
+            out.append((bs[rows[i]], as_[cols[j]], float(own[i, j])))
+    return out
+
+
 def select_renames(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Renames of one pair of files: one-to-one, best flooded score first, among pairs that carry their values on."""
+    """Renames of one pair of files: the correspondences that flooding selects, if an exact check of values bears them out.
+
+    What the check asks is the definition of a rename: of the users seen on both sides (nearly) all have the same value,
+    and more than would by chance, or, where values tell nothing, the names are alike and all values the same.
+    """
     pair = pdf["pair"].iloc[0]
     fields = pdf[pdf["path"].notna()]
     before = {r.path: r.before for r in fields.itertuples() if r.before is not None and r.before == r.before}
     after = {r.path: r.after for r in fields.itertuples() if r.after is not None and r.after == r.after}
-    carried, evidence = [], {}
+    evidence: dict[tuple[str, str], float] = {}
+    carried: set[tuple[str, str]] = set()
     for r in pdf[pdf["gone"].notna()].itertuples():
         same = r.same / r.users
         beyond = (same - r.chance) / (1 - r.chance) if r.chance < 1 else 0.0
         evidence[(r.gone, r.come)] = same * max(0.0, beyond)
         alike = name_likeness(r.gone.rpartition(".")[2], r.come.rpartition(".")[2])
-        told = beyond >= BEYOND_CHANCE and r.users >= MIN_USERS or alike >= 0.3 and same == 1.0
-        if same >= SAME and told:
-            carried.append((r.gone, r.come))
-    bs, as_, score = flood(before, after, evidence)
-    row, col = {n: i for i, n in enumerate(bs)}, {n: i for i, n in enumerate(as_)}
-    used: set[tuple[int, str]] = set()
-    out = []
-    for g, c in sorted(carried, key=lambda x: (-score[row[x[0]], col[x[1]]], x)):
-        if (0, g) not in used and (1, c) not in used:
-            used |= {(0, g), (1, c)}
-            out.append((pair, g, c, float(score[row[g], col[c]])))
+        if same >= SAME and (beyond >= BEYOND_CHANCE and r.users >= MIN_USERS or alike >= 0.3 and same == 1.0):
+            carried.add((r.gone, r.come))
+    out = [(pair, g, c, s) for g, c, s in correspond(before, after, evidence) if (g, c) in carried]
     return pd.DataFrame(out, columns=["pair", "gone", "come", "score"])
 
 
@@ -280,8 +300,8 @@ def schema_changes(records: DataFrame, file: str, text: str, user: str, ms: str,
 
     ``change`` is ``added``, ``removed``, ``retyped`` or ``renamed``. A field is a dotted path through nested objects;
     it belongs to a file if at least half of the file's readable rows hold it with a non-null value, with the type of
-    most of these. A rename is a field that goes and one that comes in the same file and carries the values on, chosen
-    one-to-one by similarity flooding (:func:`flood`) among the pairs whose values are carried on.
+    most of these. A rename is a field that goes and one that comes in the same file and carries the values on: similarity
+    flooding (:func:`flood`) selects one-to-one correspondences, which an exact check of the values then confirms.
 
     Defined cases: rows with a null file, or text that isn't a JSON object, are no rows; files without a readable row
     are passed over; rows without user or time count for fields but not for carried values; equally frequent types

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut
 
-#: Up to this many field paths that hold both arrays and lone objects are sent to the executors as a constant.
-LONE_PATHS = 10_000
+#: Up to this many field paths that hold both arrays and lone objects, of at most so many characters together, are sent
+#: to the executors as a constant.
+LONE_PATHS, LONE_CHARACTERS = 10_000, 4_000_000
 
 NODE_SCHEMA = "source string, message string, node string, kind string, parent string, place int, in_array boolean, pre int, post int, fields string"
 _ARROW = pa.schema([("source", pa.string()), ("message", pa.string()), ("node", pa.string()), ("kind", pa.string()), ("parent", pa.string()), ("place", pa.int32()), ("in_array", pa.bool_()), ("pre", pa.int32()), ("post", pa.int32()), ("fields", pa.string())])
@@ -146,24 +147,42 @@ def nested_nodes(records: DataFrame, message: str, text: str, lone_limit: int =
     ``values=False`` leaves ``fields`` null; ``elements_only`` keeps array elements only.
 
     The first pass finds the paths that hold both arrays and lone objects. They are few: a constant if at most
-    ``lone_limit``, else each record is joined with its own paths among them, by path.
+    ``lone_limit``, else each record is joined with its own paths among them, by path. With ``values`` a message's
+    deliveries are brought down to one before they are labelled, so no field crosses a shuffle twice and the labels of
+    a message come from one traversal: the readable delivery with the smallest hash. Without, only labels move: all
+    deliveries are labelled and a message's equal nodes, which then differ in nothing but their numbers, count once.
 
     Defined cases: null, empty or unreadable texts and JSON that is no object give no rows; null elements keep their
     place; empty objects are nodes; a string that holds the text of an array is that array; repeated messages give
-    their rows once; rows without a message id keep a null id, and equal texts among them count as one message; texts of any length and depth are walked whole.
+    their rows once; rows without a message id keep a null id, and equal texts among them count as one message; texts
+    of any length are walked whole, and of any depth that Python's JSON reader takes.
     """
-    spark = records.sparkSession
     given = records.select(F.col(message).cast("string").alias("_m"), F.col(text).cast("string").alias("_t")).filter("_t IS NOT NULL AND _t <> ''")
     mixed = cut(mixed_paths(given, "_t"))
-    if mixed.limit(lone_limit + 1).count() <= lone_limit:
+    size = mixed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("path")), F.lit(0)).alias("characters")).first()
+    once = _one_delivery(given) if values else given.withColumn("_other", F.lit(None).cast("string"))
+    if size.n <= lone_limit and size.characters <= LONE_CHARACTERS:
         lone = frozenset(r.path for r in mixed.collect())
-        nodes = given.mapInArrow(_labeller(lone, values), NODE_SCHEMA)
+        nodes = once.mapInArrow(_labeller(lone, values), NODE_SCHEMA)
     else:
-        own = given.mapInArrow(_own_paths, "id string, path string").distinct().join(mixed, "path").groupBy("id").agg(F.collect_set("path").alias("_own"))
-        keyed = given.withColumn("id", F.sha2("_t", 256)).join(own, "id", "left").select("_m", "_t", "_own")
+        texts = once.select(F.explode(F.array("_t", "_other")).alias("_t")).filter("_t IS NOT NULL")
+        own = texts.mapInArrow(_own_paths, "id string, path string").distinct().join(mixed, "path").groupBy("id").agg(F.collect_set("path").alias("_own"))
+        keyed = once.withColumn("id", F.sha2("_t", 256)).join(own, "id", "left").withColumnRenamed("_own", "_a").drop("id")
+        keyed = keyed.withColumn("id", F.sha2("_other", 256)).join(own, "id", "left").select("_m", "_t", "_other", "_a", F.col("_own").alias("_b"))
         nodes = keyed.mapInArrow(_labeller(None, values), NODE_SCHEMA)
     wanted = nodes.filter("in_array") if elements_only else nodes
-    return wanted.dropDuplicates(["source", "message", "node"]).drop("source")
+    return (wanted if values else wanted.dropDuplicates(["source", "message", "node"])).drop("source")
+
+
+def _one_delivery(given: DataFrame) -> DataFrame:
+    """``_m, _t, _other``: each message's delivery with the smallest hash among those that look readable, and among the others.
+
+    Partitions bring a message down to these two before the shuffle, so one delivered very often weighs no more.
+    """
+    h = F.xxhash64("_t")
+    looks = F.get_json_object("_t", "$").isNotNull()
+    best = given.withColumn("_k", F.when(F.col("_m").isNull(), F.md5("_t"))).groupBy("_m", "_k").agg(F.min_by("_t", F.when(looks, F.struct(h, F.col("_t")))).alias("_t"), F.min_by("_t", F.when(~looks, F.struct(h, F.col("_t")))).alias("_other"))
+    return best.select("_m", F.coalesce("_t", "_other").alias("_t"), F.when(F.col("_t").isNotNull(), F.col("_other")).alias("_other"))
 
 
 def _own_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +200,15 @@ def _own_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _labeller(lone: frozenset[str] | None, values: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column("_own").to_pylist() if lone is None else None
+            own, spare = (b.column(c).to_pylist() if lone is None else None for c in ("_a", "_b"))
             rows: list[tuple] = []
-            for i, (m, t) in enumerate(zip(b.column("_m").to_pylist(), b.column("_t").to_pylist())):
+            for i, (m, t, other) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_m", "_t", "_other")))):
+                paths = own
                 if (record := read_object(t)) is None:
-                    continue
-                nodes = label(record, lone if lone is not None else set(own[i] or ()))
+                    if (record := read_object(other)) is None:
+                        continue
+                    paths = spare
+                nodes = label(record, lone if lone is not None else set(paths[i] or ()))
                 for (node, kind, place, inside, pre, post, value), parent in zip(nodes, contained(nodes)):
                     rows.append((None if m is not None else hashlib.md5(t.encode()).hexdigest(), m, node, kind, parent, place, inside, pre, post, _scalars(value) if values else None))
                 if len(rows) >= 10_000:

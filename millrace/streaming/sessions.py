@@ -9,11 +9,12 @@ from millrace.operators.sessions import GAP_MS
 from millrace.streaming.features import state_store
 
 #: Times further than this many ms from 1970 are none: a stream's instants must leave room for the watermark beyond them.
-LIMIT_MS = 2_000_000_000_000_000
+#: A stream's watermark starts at 1970, so a table's times enter moved by this much, lest those before 1970 be late.
+LIMIT_MS = 1_000_000_000_000_000
 #: How far the watermark stays behind where no event may count as late: more than two times can lie apart.
 NEVER_LATE = f"{2 * LIMIT_MS // 86_400_000 + 1_000_000} days"
-#: The time of the row that ends a table: NEVER_LATE behind it still lies beyond all other times.
-END_MS = 4 * LIMIT_MS
+#: The moved time of the row that ends a table: NEVER_LATE behind it still lies beyond all other times.
+END_MS = 6 * LIMIT_MS
 
 
 def merge_intervals(held: list[tuple[int, int, int]], new: list[tuple[int, int, int]], gap_ms: int) -> list[tuple[int, int, int]]:
@@ -36,7 +37,7 @@ def session_stream(events: DataFrame, key: str, at: str, gap_ms: int = GAP_MS, l
     Every event opens an interval of ``gap_ms``; the state of a key is the intervals that the watermark (``lateness``
     behind the newest event) has not closed, and overlapping ones merge. An event that is late but not behind the
     watermark opens, widens or joins intervals as if it had come in time. A session is emitted once, when the watermark
-    has passed its end; rows without key or time are skipped. The state is Spark's own (``session_window``), inside the
+    has passed its end; rows without key or time are skipped, and times before 1970 are late. The state is Spark's own (``session_window``), inside the
     JVM. Started under :func:`millrace.streaming.features.state_store`, each input partition merges its intervals
     before the shuffle, so a hot key sends its partition's sessions, not its events.
     """
@@ -66,7 +67,7 @@ def run_sessions(stream: DataFrame, at: str, key: str, ms: str, gap_ms: int = GA
     def write_end(rows: list[tuple]) -> None:
         spark.createDataFrame(rows, ends).coalesce(1).write.mode("append").parquet(f"{at}/end")
 
-    events = stream.select(F.col(key).alias("k"), F.col(ms).cast("bigint").alias("ms")).filter(F.abs("ms") <= LIMIT_MS)
+    events = stream.select(F.col(key).alias("k"), F.col(ms).cast("bigint").alias("ms")).filter(F.col("ms").between(-LIMIT_MS, LIMIT_MS)).withColumn("ms", F.col("ms") + LIMIT_MS)
 
     def run() -> None:
         both = events.unionByName(spark.readStream.schema(ends).parquet(f"{at}/end")).filter("ms IS NOT NULL").withColumn("at", F.timestamp_millis("ms"))
@@ -82,4 +83,4 @@ def run_sessions(stream: DataFrame, at: str, key: str, ms: str, gap_ms: int = GA
             write_end([(None, END_MS)])
             run()
     found = spark.read.schema(f"k {kind}, start_ms bigint, end_ms bigint, events bigint").parquet(f"{at}/sessions")
-    return found.withColumnRenamed("k", key)
+    return found.select(F.col("k").alias(key), (F.col("start_ms") - LIMIT_MS).alias("start_ms"), (F.col("end_ms") - LIMIT_MS).alias("end_ms"), "events")

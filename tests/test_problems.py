@@ -238,3 +238,64 @@ def test_features(spark, tmp_path):
 def test_array_text_after_blanks():
     record = {"a": " \n" * 100 + '[{"b": 1}]', "c": " " * 100 + "no array"}
     assert [n[0] for n in label(record, set())] == ["", "a[0]"]
+
+
+def test_renames_come_from_flooding(monkeypatch):
+    """Constant leaves say nothing by name or value; only what flooding carries over from their siblings tells them apart."""
+    import pandas as pd
+
+    from millrace.operators import drift
+
+    before = {"a": "object", "a.id": "string", "a.k": "number", "b": "object", "b.id": "string", "b.k": "number", "n": "number"}
+    after = {"x": "object", "x.id": "string", "x.k": "number", "y": "object", "y.id": "string", "y.k": "number", "n": "number"}
+    rows = [("p", f, before.get(f), after.get(f), None, None, None, None, None) for f in sorted(before | after)]
+    for g in ("a", "b"):
+        for c in ("x", "y"):
+            rows.append(("p", None, None, None, f"{g}.k", f"{c}.k", 9, 9, 1.0))
+            rows.append(("p", None, None, None, f"{g}.id", f"{c}.id", 9, 9 if (g, c) in (("a", "y"), ("b", "x")) else 0, 0.1))
+    pdf = pd.DataFrame(rows, columns=["pair", "path", "before", "after", "gone", "come", "users", "same", "chance"])
+    want = {("a.id", "y.id"), ("a.k", "y.k"), ("b.id", "x.id"), ("b.k", "x.k")}
+    assert {(r.gone, r.come) for r in drift.select_renames(pdf).itertuples()} == want
+
+    def by_name(b, a, evidence, **_):
+        bs, as_ = sorted(b), sorted(a)
+        return bs, as_, drift.np.array([[drift.name_likeness(x, y) for y in as_] for x in bs])
+
+    monkeypatch.setattr(drift, "flood", by_name)
+    assert {(r.gone, r.come) for r in drift.select_renames(pdf).itertuples()} != want
+
+
+@pytest.mark.parametrize("run_rows", [10, 100_000])
+def test_replay_with_a_hot_key(spark, run_rows):
+    rng = random.Random(4)
+    rows = [("hot" if i % 2 else f"k{i % 30}", rng.randrange(50), i, rng.choice("iiud"), rng.choice([None, "p", "q"]), i) for i in range(2000)]
+    state = {}
+    for k, t, s, op, a, b in sorted(rows, key=lambda r: (r[1], r[2])):
+        if op == "d":
+            state.pop(k, None)
+        else:
+            old = state.get(k, (0, 0, None, None))
+            state[k] = (t, s, a if a is not None else old[2], b)
+    got = replay_changes(spark.createDataFrame(rows * 2, CHANGES), "k", "t", "s", "op", ["a", "b"], run_rows=run_rows)
+    assert sorted(map(tuple, got.collect())) == sorted((k, *v) for k, v in state.items())
+
+
+def test_one_traversal_for_each_message(spark):
+    """Deliveries that differ: labels come from one of them, a readable one, and nest."""
+    rows = [("m", '{"a": [{"x": 1}, {"y": 2}]}'), ("m", '{"a": [{"b": [{"z": 1}]}], "c": {"d": 1}}'), ("m", '{"a": [{'), ("m", None)]
+    for some in (rows, rows[::-1], rows[1:3]):
+        nodes = [(r.node, r.pre, r.post) for r in nested_nodes(spark.createDataFrame(some, "id string, p string"), "id", "p").collect()]
+        assert sorted(n for n, _, _ in nodes) in (["", "a[0]", "a[1]"], ["", "a[0]", "a[0].b[0]", "c"])
+        assert sorted(p for _, p, _ in nodes) == sorted(q for _, _, q in nodes) == list(range(len(nodes)))
+
+
+def test_sessions_of_a_table(spark, tmp_path):
+    """The state under a watermark closes all sessions of a table, however late its files bring their rows."""
+    from millrace.streaming.sessions import run_sessions
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice([None, *[rng.randrange(-500, 3000)] * 9]), None) for _ in range(300)]
+    spark.createDataFrame([r[:2] for r in rows], "u string, t bigint").repartition(5).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("u string, t bigint").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+    got = run_sessions(stream, scratch_dir(spark), "u", "t", 20)
+    assert sorted((r.u, r.start_ms, r.end_ms, r.end_ms - r.start_ms, r.events) for r in got.collect()) == [r[:5] for r in brute_sessions(rows, 20)]
