@@ -16,8 +16,8 @@ from millrace.session import cut
 
 #: Rows that one window of the sampling step holds at most, about.
 WINDOW_ROWS = 50_000
-#: Steps that move a source's total by one document's copy at a time, after sampling.
-STEPS = 6
+#: A language with less than this share of the tokens is summed up with others under ``other``, so that cells stay few.
+LANGUAGE_PART = 0.001
 
 
 def spread(mass: np.ndarray, caps: np.ndarray, total: float) -> np.ndarray:
@@ -71,12 +71,13 @@ def plain_source(c) -> F.Column:
 def measured(documents: DataFrame, model: Model, doc_id: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, lang, topic, tokens`` of each non-blank text, read whole and once.
 
-    ``lang`` is one of en, de, es or ``other``; ``topic`` the subject most units are about, or ``none``.
+    ``lang`` is the first part of the language tag in plain form (``en`` of ``EN-us``), or ``other`` where there is none;
+    ``topic`` is the subject most units are about, or ``none``.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the classifier's fitting sample
-    lang = F.substring(plain("lang"), 1, 2)
-    given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), plain_source("source").alias("source"), F.when(lang.isin("en", "de", "es"), lang).otherwise("other").alias("lang"), "text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    lang = F.coalesce(F.nullif(F.regexp_extract(plain("lang"), r"^\p{L}+", 0), F.lit("")), F.lit("other"))
+    given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), plain_source("source").alias("source"), lang.alias("lang"), "text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shared.value.slots)
@@ -98,7 +99,8 @@ def mix(documents: DataFrame, targets: DataFrame, fill: float = 1.0) -> DataFram
     raked to the sources' shares and, as far as repeats allow, to the languages' and topics' shares in the documents.
     A cell's weight is the expected number of copies of its documents: the whole part is given to each, the rest by
     systematic sampling along falling size, so a sample has nearly the expected tokens as well as documents. Last,
-    each source gives or takes single copies that bring its total closest to its target, at most STEPS times.
+    each source gives or takes single copies, each time the one that brings its total closest to its target, until none
+    brings it closer. Languages with less than LANGUAGE_PART of the tokens count as ``other`` in cells and result.
 
     Defined cases: documents of sources without a target aren't selected; targets with a null source, share or
     repeats, or none above zero, are skipped; targets of sources without documents are left out and the other shares
@@ -107,7 +109,11 @@ def mix(documents: DataFrame, targets: DataFrame, fill: float = 1.0) -> DataFram
     spark = documents.sparkSession
     wanted = {r.s: (float(r.target_share), int(r.max_repeats)) for r in targets.select(plain_source("source").alias("s"), "target_share", "max_repeats").collect() if r.s and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0}
     docs = documents.filter(F.col("source").isin(*wanted)) if wanted else documents.limit(0)
-    # at most targets x 4 languages x (subjects + 1) rows
+    tokens = F.sum(F.col("tokens").cast("bigint"))
+    every = docs.agg(tokens).first()[0] or 0
+    main = sorted(r.lang for r in docs.groupBy("lang").agg(tokens.alias("t")).filter(F.col("t") >= LANGUAGE_PART * every).filter("lang IS NOT NULL").collect())  # at most 1 / LANGUAGE_PART
+    docs = docs.withColumn("lang", F.when(F.col("lang").isin(*main), F.col("lang")).otherwise("other")) if main else docs.withColumn("lang", F.lit("other"))
+    # at most targets x 1 / LANGUAGE_PART x (subjects + 1) rows
     cells = docs.groupBy("source", "lang", "topic").agg(F.sum(F.col("tokens").cast("bigint")).alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("source", "lang", "topic").collect()
     empty = docs.limit(0).withColumn("copies", F.lit(0))
     if not cells:
@@ -149,10 +155,14 @@ def _draw(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _settle(drawn: DataFrame, goals: dict[str, float]) -> DataFrame:
-    """Change single copies until no change brings a source's total closer to its goal, at most STEPS of them each."""
+    """Change single copies until no change brings a source's total closer to its goal.
+
+    A document is changed once, and each change brings a gap down, from the first on to below what tells two documents'
+    sizes apart; the changes that this takes are few, whatever the number of documents.
+    """
     changes: dict[int, int] = {}
     sums = {r.source: float(r.t) for r in drawn.groupBy("source").agg(F.sum(F.col("tokens").cast("bigint") * F.col("copies")).alias("t")).collect()}
-    for _ in range(STEPS):
+    while True:
         gaps = {s: g - sums.get(s, 0.0) for s, g in goals.items()}
         gap = F.create_map(*[x for s, g in sorted(gaps.items()) for x in (F.lit(s), F.lit(float(g)))])[F.col("source")]
         move = F.when((gap > 0) & (F.col("copies") < F.col("_most")), 1).when((gap < 0) & (F.col("copies") > 0), -1)

@@ -9,18 +9,21 @@ from math import ceil
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import VOCABULARY, count_tokens
 from millrace.session import cut
 
-#: Items of an island, individuals of a deme, demes of an island, generations, and epochs with migration between islands.
-ISLAND, DEME, DEMES, GENERATIONS, EPOCHS = 1000, 12, 2, 40, 4
+#: Items of a block, individuals of a deme, islands of a block, generations before and after migration, and epochs.
+ISLAND, DEME, DEMES, GENERATIONS, EPOCHS = 1000, 12, 2, 24, 4
+#: Islands that one task evolves at most, one after the other, where there are many.
+TASK_ISLANDS = 64
 #: Containers filled to at least this share settle at the end of an epoch.
 SETTLED = 0.995
 
 Packing = list[list[int]]  # containers, each a list of item numbers
+Filled = tuple[Packing, list[int]]  # with the containers' fills
 
 
 def best_fit(items: list[int], sizes: list[int], capacity: int, packing: Packing, fills: list[int]) -> None:
@@ -61,21 +64,24 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
     Containers of ``a`` that share items with the injected ones are dissolved; their other items are put back, by size,
     best fit.
     """
-    fb = _fills(b, sizes)
-    order = sorted(range(len(b)), key=lambda i: (-fb[i], rng.random()))
-    take = order[: max(1, rng.randint(len(b) // 8, max(len(b) // 2, 1)))]
-    injected = [list(b[i]) for i in take]
-    inside = {x for c in injected for x in c}
-    kept, loose = [], []
-    for c in a:
+    return _cross((a, _fills(a, sizes)), (b, _fills(b, sizes)), sizes, capacity, rng)[0]
+
+
+def _cross(a: Filled, b: Filled, sizes: list[int], capacity: int, rng: random.Random) -> Filled:
+    pb, fb = b
+    order = sorted(range(len(pb)), key=lambda i: (-fb[i], rng.random()))
+    take = order[: max(1, rng.randint(len(pb) // 8, max(len(pb) // 2, 1)))]
+    child, fills = [list(pb[i]) for i in take], [fb[i] for i in take]
+    inside = {x for c in child for x in c}
+    loose: list[int] = []
+    for c, f in zip(*a):
         if inside.isdisjoint(c):
-            kept.append(list(c))
+            child.append(list(c))
+            fills.append(f)
         else:
             loose += [x for x in c if x not in inside]
-    child = injected + kept
-    fills = _fills(child, sizes)
     best_fit(_order(loose, sizes, rng), sizes, capacity, child, fills)
-    return child
+    return child, fills
 
 
 def mutate(packing: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
@@ -83,7 +89,11 @@ def mutate(packing: Packing, sizes: list[int], capacity: int, rng: random.Random
 
     A trade puts a loose item into a container in place of a smaller one where the container then is fuller.
     """
-    fills = _fills(packing, sizes)
+    return _mutated((packing, _fills(packing, sizes)), sizes, capacity, rng)[0]
+
+
+def _mutated(parent: Filled, sizes: list[int], capacity: int, rng: random.Random) -> Filled:
+    packing, fills = parent
     order = sorted(range(len(packing)), key=lambda i: (fills[i], rng.random()))
     poor = sum(f < capacity * SETTLED for f in fills)
     gone = set(order[: max(2, poor // 4)]) | {rng.randrange(len(packing)) for _ in range(2)}
@@ -108,63 +118,90 @@ def mutate(packing: Packing, sizes: list[int], capacity: int, rng: random.Random
         else:
             rest.append(x)
     best_fit(_order(rest, sizes, rng), sizes, capacity, kept, own)
-    return kept
+    return kept, own
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, deme: int = DEME, demes: int = DEMES, generations: int = GENERATIONS) -> Packing:
-    """Pack one island's items, all of at most ``capacity``.
+def evolve_deme(sizes: list[int], capacity: int, seed: int, elites: tuple[Packing, ...] = (), deme: int = DEME, generations: int = GENERATIONS) -> Packing:
+    """Evolve one population over all ``sizes``, each at most ``capacity``; its best individual.
 
-    Each deme starts from best fit by falling size and from disturbed orders. A generation replaces each deme's worst
-    by children of its better ones; every fourth, the best individual of each deme migrates to the next.
-    Evolution ends early at the least possible number of containers.
+    The population is the ``elites`` that migrated here, best fit by falling size, and disturbed orders. A generation
+    replaces the worst by children of the better ones. It ends early at the least possible number of containers.
     """
     if not sizes:
         return []
     rng = random.Random(seed)
     least = ceil(sum(sizes) / capacity)
 
-    def start(noise: float) -> Packing:
+    def start(noise: float) -> Filled:
         packing: Packing = []
-        best_fit(sorted(range(len(sizes)), key=lambda x: (-sizes[x] * (1 - noise * rng.random()), x)), sizes, capacity, packing, [])
-        return packing
+        fills: list[int] = []
+        best_fit(sorted(range(len(sizes)), key=lambda x: (-sizes[x] * (1 - noise * rng.random()), x)), sizes, capacity, packing, fills)
+        return packing, fills
+
+    def scored(p: Filled) -> tuple[tuple[int, float], Filled]:
+        return (-len(p[0]), fitness(p[1], capacity)), p
 
     first = start(0.0)
-    if len(first) <= least or len(first) == 1:
-        return first
-    score = lambda p: (-len(p), fitness(_fills(p, sizes), capacity))
-    every = [sorted([(score(p), p) for p in [first, *(start(rng.choice((0.3, 1.0))) for _ in range(deme - 1))]], key=lambda s: s[0], reverse=True) for _ in range(demes)]
-    for g in range(generations):
-        for own in every:
-            a, b = rng.sample(range(max(2, deme - 2)), 2)
-            children = [crossover(own[a][1], own[b][1], sizes, capacity, rng), mutate(own[rng.randrange(3)][1], sizes, capacity, rng)]
-            own[-len(children) :] = [(score(c), c) for c in children]
-            own.sort(key=lambda s: s[0], reverse=True)
-        if g % 4 == 3:
-            elite = [own[0] for own in every]
-            for i, e in enumerate(elite):
-                every[(i + 1) % demes][-1] = e
-                every[(i + 1) % demes].sort(key=lambda s: s[0], reverse=True)
-        if -max(own[0][0][0] for own in every) <= least:
+    if len(first[0]) <= least or len(first[0]) == 1:
+        return first[0]
+    own = [scored(p) for p in [*((e, _fills(e, sizes)) for e in elites), first]]
+    own += [scored(start(rng.choice((0.3, 1.0)))) for _ in range(deme - len(own))]
+    own.sort(key=lambda s: s[0], reverse=True)
+    for _ in range(generations):
+        if -own[0][0][0] <= least:
             break
-    return max((own[0] for own in every), key=lambda s: s[0])[1]
+        a, b = rng.sample(range(max(2, len(own) - 2)), 2)
+        children = [_cross(own[a][1], own[b][1], sizes, capacity, rng), _mutated(own[rng.randrange(min(3, len(own)))][1], sizes, capacity, rng)]
+        own[-len(children) :] = [scored(c) for c in children]
+        own.sort(key=lambda s: s[0], reverse=True)
+    return own[0][1][0]
 
 
+def evolve(sizes: list[int], capacity: int, seed: int, demes: int = DEMES) -> Packing:
+    """What :func:`pack` does with one block of items: islands evolve apart, then one goes on from all their elites."""
+    return evolve_deme(sizes, capacity, seed, tuple(evolve_deme(sizes, capacity, seed + 1 + i) for i in range(demes)) if sizes else ())
+
+
+_ELITE = "kind string, capacity int, block bigint, island int, doc_id bigint, piece int, tokens int, place int"
 _ITEM = "kind string, capacity int, epoch int, container string, doc_id bigint, piece int, tokens int, settled boolean"
+_BY_ITEM = ["doc_id", "piece", "tokens"]
+
+
+def _evolve_island(epoch: int):
+    """One island: it evolves its block's items apart from the others and sends out its elite."""
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, block, island = key
+        pdf = pdf.sort_values(_BY_ITEM, kind="stable").reset_index(drop=True)
+        packing = evolve_deme(pdf["tokens"].tolist(), capacity := int(pdf["capacity"].iloc[0]), seed=hash((epoch, int(block), int(island), capacity)))
+        return pdf.assign(place=_places(packing, len(pdf)))[["kind", "capacity", "block", "island", *_BY_ITEM, "place"]]
+
+    return run
+
+
+def _places(packing: Packing, n: int) -> list[int]:
+    place = [0] * n
+    for i, c in enumerate(packing):
+        for x in c:
+            place[x] = i
+    return place
+
+
+def _join_elites(epoch: int, last: bool):
+    """Where the elites of a block's islands arrive: a population that starts from them evolves on; full containers settle."""
 
-def _pack_island(epoch: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, island = key
-        pdf = pdf.sort_values(["doc_id", "piece", "tokens"], kind="stable").reset_index(drop=True)
-        sizes, capacity = pdf["tokens"].tolist(), int(pdf["capacity"].iloc[0])
-        packing = evolve(sizes, capacity, seed=hash((epoch, int(island), capacity)))
-        place = [0] * len(sizes)
-        full = [False] * len(sizes)
-        for i, c in enumerate(packing):
-            done = last or sum(sizes[x] for x in c) >= SETTLED * capacity
-            for x in c:
-                place[x], full[x] = i, done
-        return pd.DataFrame({"kind": kind, "capacity": capacity, "epoch": epoch, "container": [f"{kind}-{epoch}-{island}-{i}" for i in place], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "tokens": pdf["tokens"], "settled": full})
+        kind, block = key
+        elites: list[Packing] = []
+        for _, own in pdf.groupby("island"):
+            own = own.sort_values(_BY_ITEM, kind="stable").reset_index(drop=True)
+            elites.append([list(x) for x in own.groupby("place").indices.values()])
+        items, capacity = own, int(pdf["capacity"].iloc[0])
+        sizes = items["tokens"].tolist()
+        packing = evolve_deme(sizes, capacity, seed=hash((epoch, int(block), capacity)), elites=tuple(elites))
+        place = _places(packing, len(sizes))
+        full = [last or sum(sizes[x] for x in c) >= SETTLED * capacity for c in packing]
+        return pd.DataFrame({"kind": kind, "capacity": capacity, "epoch": epoch, "container": [f"{kind}-{epoch}-{block}-{i}" for i in place], **{c: items[c] for c in _BY_ITEM}, "settled": [full[i] for i in place]})
 
     return run
 
@@ -173,10 +210,12 @@ def pack(sizes: DataFrame, capacities: DataFrame, island: int = ISLAND, epochs:
     """Assign ``doc_id, tokens`` to containers of each ``kind, capacity``: ``kind, capacity, container, doc_id, piece, tokens``.
 
     An item larger than the container, and no other, is cut: pieces of the whole capacity fill containers alone, the
-    remaining piece is packed with the others; ``piece`` counts from 0. In each epoch the items are dealt to islands
-    of about ``island`` items by a hash, each evolves its packing (:func:`evolve`), and the containers filled to SETTLED
-    settle. The items of the others migrate: the next epoch deals them anew, so they meet other partners. The last epoch
-    settles all. Only ids and sizes move; an island has a fixed number of items, however equal or uneven sizes are.
+    remaining piece is packed with the others; ``piece`` counts from 0. In each epoch the items are dealt by a hash to
+    blocks of about ``island`` items. DEMES islands, tasks of their own, evolve a block's packing apart; their elites
+    migrate through a shuffle to one population, which evolves on from them (:func:`evolve_deme`). Containers filled to
+    SETTLED settle, the items of the others are dealt anew, so they meet other partners; the last epoch settles all.
+    Only ids and sizes move. A block has a fixed number of items, and the number of tasks follows that of islands, not
+    of bytes, which say nothing about the work.
 
     Defined cases: items with a null id or size, or a size below 1, are skipped; a repeated id is as many items; kinds
     with a null or non-positive capacity are skipped; empty inputs give no rows; equal sizes are packed by id.
@@ -191,12 +230,17 @@ def pack(sizes: DataFrame, capacities: DataFrame, island: int = ISLAND, epochs:
     loose = each.filter("tokens % capacity > 0").select("kind", "capacity", "doc_id", F.when(F.col("tokens") >= F.col("capacity"), whole).otherwise(0).alias("piece"), F.expr("tokens % capacity").cast("int").alias("tokens"))
     done = [alone]
     for epoch in range(1, epochs + 1):
-        n = loose.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
-        if not n:
+        counts = [r["count"] for r in loose.groupBy("kind").count().collect()]
+        if not counts:
             break
+        n = max(counts)
         last = epoch == epochs or n <= island
-        dealt = loose.withColumn("_island", F.pmod(F.xxhash64(F.lit(epoch), "doc_id", "piece", "tokens"), F.lit(max(1, ceil(n / island)))))
-        packed = cut(dealt.groupBy("kind", "_island").applyInPandas(_pack_island(epoch, last), _ITEM))
+        blocks = max(1, ceil(n / island))
+        tasks = _tasks(spark, blocks * len(counts) * DEMES)
+        dealt = loose.withColumn("block", F.pmod(F.xxhash64(F.lit(epoch), "doc_id", "piece", "tokens"), F.lit(blocks))).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(DEMES - 1))))
+        elites = dealt.repartition(tasks, "kind", "block", "island").groupBy("kind", "block", "island").applyInPandas(_evolve_island(epoch), _ELITE)
+        met = elites.repartition(_tasks(spark, blocks * len(counts)), "kind", "block").groupBy("kind", "block").applyInPandas(_join_elites(epoch, last), _ITEM)
+        packed = cut(met)
         done.append(packed.filter("settled"))
         if last:
             break
@@ -207,6 +251,11 @@ def pack(sizes: DataFrame, capacities: DataFrame, island: int = ISLAND, epochs:
     return out.select("kind", "capacity", "container", "doc_id", "piece", "tokens")
 
 
+def _tasks(spark: SparkSession, islands: int) -> int:
+    """A task for each island up to four for each core, more where a task would have over TASK_ISLANDS."""
+    return max(1, min(islands, 4 * spark.sparkContext.defaultParallelism), islands // TASK_ISLANDS)
+
+
 def token_sizes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, tokens`` of each non-blank text, measured whole."""
 

@@ -13,6 +13,8 @@ from millrace.session import cut
 ROWS = 4096
 #: Ranks kept, from 0; a set would need about ROWS * 2**RANKS members to fill them.
 RANKS = 40
+#: Up to so many characters the list of groups to count again is sent to all executors.
+LISTED_CHARACTERS = 8_000_000
 
 
 def bit_matrices(rows: DataFrame, groups: list[str | Column], member: str | Column, n_rows: int = ROWS) -> DataFrame:
@@ -100,19 +102,29 @@ def distinct_counts(rows: DataFrame, groups: list[str], member: str, n_rows: int
 
 
 def doubled(rows: DataFrame, day: str, group: str, member: str, factor: float = 2.0, bounds: float = 6.0, n_rows: int = ROWS) -> DataFrame:
-    """The ``(day, group)`` with at least ``factor`` times as many distinct members as on the day before, exactly.
+    """The ``(day, group)`` with at least ``factor`` times as many distinct members as on the day before.
 
-    Sketches tell which are possible: those whose upper bound (``bounds`` standard errors and 2 members) reaches
-    ``factor`` times the lower bound of the day before, if that day has the group at all. Only the rows of these days
-    and groups are then counted exactly. ``day`` is a date; null days, groups and members are skipped.
+    Sketches decide: a pair of days whose bounds (``bounds`` standard errors and 2 members) lie wholly on one side of
+    ``factor`` is settled by them, ``members`` and ``members_before`` then being the rounded estimates. Only the pairs
+    whose bounds leave it open are counted again, exactly, and ``recounted`` says so. The list of days and groups to
+    count again is sent to all tasks up to LISTED_CHARACTERS, so other rows never reach a shuffle; a longer one is
+    joined. ``day`` is a date; null days, groups and members are skipped; a day without the group is no day before.
     """
     usable = rows.filter(F.col(day).isNotNull() & F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(day).alias("_d"), F.col(group).alias("_g"), F.col(member).alias("_m"))
     sized = cut(estimate(bit_matrices(usable, ["_d", "_g"], "_m", n_rows), ["_d", "_g"], n_rows))
     slack = F.lit(bounds) * F.col("std_error") + 2
-    today = sized.select("_d", "_g", (F.col("estimate") + slack).alias("_high"))
-    before = sized.select(F.date_add("_d", 1).alias("_d"), "_g", (F.col("estimate") - slack).alias("_low"))
-    possible = today.join(before, ["_d", "_g"]).filter(F.col("_high") >= factor * F.col("_low")).select("_d", "_g")
-    needed = possible.select(F.explode(F.array("_d", F.date_sub("_d", 1))).alias("_d"), "_g").distinct()
-    exact = cut(usable.join(needed, ["_d", "_g"], "left_semi").distinct().groupBy("_d", "_g").agg(F.count(F.lit(1)).alias("_n")))
+    today = sized.select("_d", "_g", F.col("estimate").alias("_n"), (F.col("estimate") - slack).alias("_low"), (F.col("estimate") + slack).alias("_high"))
+    before = sized.select(F.date_add("_d", 1).alias("_d"), "_g", F.col("estimate").alias("_b"), (F.col("estimate") - slack).alias("_least"), (F.col("estimate") + slack).alias("_most"))
+    pairs = cut(today.join(before, ["_d", "_g"]).filter(F.col("_high") >= factor * F.col("_least")).withColumn("_sure", F.col("_low") >= factor * F.col("_most")))
+    named = [F.col("_d").alias(day), F.col("_g").alias(group)]
+    settled = pairs.filter("_sure").select(*named, F.round("_n").cast("bigint").alias("members"), F.round("_b").cast("bigint").alias("members_before"), F.lit(False).alias("recounted"))
+    unsure = pairs.filter("NOT _sure").select("_d", "_g")
+    needed = unsure.select(F.explode(F.array("_d", F.date_sub("_d", 1))).alias("_d"), "_g").distinct()
+    size = needed.agg(F.sum(F.length(F.col("_g").cast("string")) + 10)).first()[0]
+    if size is None:
+        return settled
+    listed = F.broadcast(needed) if size <= LISTED_CHARACTERS else needed
+    exact = cut(usable.join(listed, ["_d", "_g"], "left_semi").distinct().groupBy("_d", "_g").agg(F.count(F.lit(1)).alias("_n")))
     earlier = exact.select(F.date_add("_d", 1).alias("_d"), "_g", F.col("_n").alias("_b"))
-    return possible.join(exact, ["_d", "_g"]).join(earlier, ["_d", "_g"]).filter(F.col("_n") >= factor * F.col("_b")).select(F.col("_d").alias(day), F.col("_g").alias(group), F.col("_n").alias("members"), F.col("_b").alias("members_before"))
+    counted = unsure.join(exact, ["_d", "_g"]).join(earlier, ["_d", "_g"]).filter(F.col("_n") >= factor * F.col("_b"))
+    return settled.unionByName(counted.select(*named, F.col("_n").alias("members"), F.col("_b").alias("members_before"), F.lit(True).alias("recounted")))

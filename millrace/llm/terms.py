@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.skew import HotKeys
 from millrace.session import cut
 
-
 #: Suffixes with one first term beyond this many go to several tasks, by their records.
 TASK_ROWS = 200_000
 
@@ -19,8 +19,6 @@ SEPARATOR = "\x00"
 _OUT = "terms array<string>, total bigint, records bigint"
 
 
-
-
 def _joined(terms: Column) -> Column:
     """The terms as one text that sorts as they do: SEPARATOR, below all characters, between them, and escaped within."""
     safe = F.transform(terms, lambda t: F.replace(F.replace(t, F.lit("\x01"), F.lit("\x01\x02")), F.lit(SEPARATOR), F.lit("\x01\x01")))
@@ -76,9 +74,10 @@ def term_frequencies(suffixes: DataFrame, suffix: str, record: str, n: str, task
     """``terms, total, records`` of every prefix of the given suffixes.
 
     ``suffixes`` has one row per truncated suffix (an array of terms), record and count of it there. Rows go to the
-    task of the suffix's first term. The first terms of more than ``task_rows`` rows, at most rows / ``task_rows`` of
-    them, go to several tasks by a hash of the record: each task then sees whole records, so the counts of
-    records add up as those of occurrences do, and a last sum over the tasks' results, not over rows, is exact.
+    task of the suffix's first term. First terms of more than ``task_rows`` rows (:class:`HotKeys`) are split before that
+    shuffle, by a hash of the record: each task then sees whole records, so the counts of records add up as those of
+    occurrences do, and a last sum over the tasks' results, not over rows, is exact. Rows without a record are spread
+    by suffix and input partition.
 
     Defined cases: null or empty suffixes are skipped, as are null terms' rows; a null record counts in ``total`` but
     not in ``records``; repeated rows add up; an empty input gives no rows.
@@ -86,8 +85,10 @@ def term_frequencies(suffixes: DataFrame, suffix: str, record: str, n: str, task
     rows = suffixes.select(F.col(suffix).alias("_s"), F.col(record).alias("_r"), F.col(n).cast("bigint").alias("_n")).filter("size(_s) > 0 AND NOT exists(_s, x -> x IS NULL)")
     rows = rows.withColumn("_s", _joined(F.col("_s")))
     first = F.substring_index("_s", SEPARATOR, 1)
-    hot = rows.groupBy(first.alias("_f")).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > task_rows).select("_f", F.ceil(F.col("_c") / task_rows).cast("int").alias("_ways"))
-    routed = rows.withColumn("_f", first).join(hot, "_f", "left").withColumn("_salt", F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("_r"), F.col("_ways")).cast("int")))
+    hot = HotKeys(rows, first, task_rows)
+    # equal suffixes without a record of one input partition may go anywhere: they have no record to keep whole
+    by = F.when(F.col("_r").isNull(), F.xxhash64("_s", F.spark_partition_id())).otherwise(F.xxhash64("_r"))
+    routed = hot.salted(rows, by).withColumn("_f", first)
     ordered = routed.select("_f", "_salt", "_s", "_r", "_n").repartition("_f", "_salt").sortWithinPartitions("_f", "_salt", F.desc("_s"))
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,8 @@ def term_frequencies(suffixes: DataFrame, suffix: str, record: str, n: str, task
             yield _batch(held)
 
     parts = ordered.mapInArrow(stack, _OUT)
+    if not hot.any:  # all suffixes of a first term met in one task
+        return parts
     return parts.groupBy("terms").agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
 
 
