@@ -35,6 +35,33 @@ def unpack_list(blob: pd.Series) -> pd.Series:
     return blob.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def pack_list(items: pd.Series) -> pd.Series:
+    """An array of JSON texts as one gzipped, base64-coded JSON list; null for null."""
+    return items.map(lambda xs: None if xs is None else base64.b64encode(gzip.compress(f"[{','.join(xs)}]".encode(), mtime=0)).decode())
+
+
+#: Byte-order marks and the encodings they tell, longest first.
+MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
+
+
+def decoded(raw: bytes) -> tuple[str, str]:
+    """The text of some bytes and the encoding it was told by: a mark, valid UTF-8, else Windows' Latin, which takes all."""
+    for mark, name in MARKS:
+        if raw.startswith(mark):
+            return raw[len(mark) :].decode(name, "replace"), name
+    try:
+        return raw.decode("utf-8"), "utf-8"
+    except UnicodeDecodeError:
+        return raw.decode("cp1252", "replace"), "cp1252"
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
+def decoded_text(raw: pd.Series) -> pd.DataFrame:
+    """:func:`decoded` of binary values; null for null."""
+    return pd.DataFrame([(None, None) if r is None else decoded(bytes(r)) for r in raw], columns=["text", "encoding"])
+
+
 def _scrub(x: object) -> object:
     if isinstance(x, dict):
         out = {k.lstrip("$"): _scrub(v) for k, v in x.items()}

@@ -22,8 +22,8 @@ def normalise(text: Column) -> Column:
 
 def split_names(text: Column) -> Column:
     """Lower-case words with snake and camel case taken apart: ``getFileName_raw`` gives get, file, name, raw."""
-    apart = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), "_", " ")
-    return F.regexp_extract_all(F.lower(apart), F.lit("[a-z0-9]+"), F.lit(0))
+    apart = F.regexp_replace(F.regexp_replace(text, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), "_", " ")
+    return F.regexp_extract_all(F.lower(apart), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -58,6 +58,20 @@ def top_level_imports(source: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(plain, given)))
 
 
+#: Fixed value: what a code token is, in this order: comments, strings, numbers, names, single signs.
+CODE_TOKEN = r"""//[^\n]*|#[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z0-9_]"""
+
+
+def code_tokens(source: Column) -> Column:
+    """Tokens of program text of most languages: comments, strings, numbers, names and signs."""
+    return F.regexp_extract_all(source, F.lit(CODE_TOKEN), F.lit(0))
+
+
+def code_kind(token: Column) -> Column:
+    """The kind of a code token by its first characters."""
+    return F.when(token.rlike("^(//|#)"), "comment").when(token.rlike("^[\"'].+[\"']$"), "string").when(token.rlike("^[0-9]"), "number").when(token.rlike("^[A-Za-z_]"), "name").otherwise("sign")
+
+
 def html_words(page: Column) -> Column:
     """Words of a page's text: scripts, styles and tags go, five entities are read."""
     bare = F.regexp_replace(F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
@@ -91,8 +105,10 @@ def _short_end(w: str) -> bool:
 
 
 def porter_stem(word: str) -> str:
-    """Porter's stem of a lower-case word."""
+    """Porter's stem of a lower-case word; a word of other letters than a to z stays as it is."""
     w = word
+    if not w.isascii() or not w.isalpha():
+        return w
     if len(w) <= 2:
         return w
     if w.endswith("sses") or w.endswith("ies"):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,11 @@ def flat_map(name: str, into: str, items: Column) -> Feed:
     return Feed(name, lambda df: df.withColumn(into, F.explode(items)))
 
 
+def pieces(name: str, work: Callable[[Iterator], Iterator], schema: str) -> Feed:
+    """Any number of rows from each, made lazily: ``work`` takes and yields pandas frames, a batch at a time."""
+    return Feed(name, lambda df: df.mapInPandas(work, schema))
+
+
 def keep(name: str, condition: Column) -> Feed:
     return Feed(name, lambda df: df.filter(condition))
 
@@ -94,6 +100,7 @@ class Pipeline:
         """Build all plans; nothing runs before a result is asked for, but for sinks."""
         self.validate()
         every: dict[Feed, DataFrame] = {}
+        kept: list[DataFrame] = []
 
         def good(f: Feed) -> DataFrame:
             df = build(f)
@@ -101,12 +108,16 @@ class Pipeline:
 
         def build(f: Feed) -> DataFrame:
             if f not in every:
-                every[f] = f.make(spark) if self.parents[f] is None else f.make(good(self.parents[f]))
+                made = f.make(spark) if self.parents[f] is None else f.make(good(self.parents[f]))
+                shared = sum(above is f for above in self.parents.values()) > 1
+                every[f] = made.persist(StorageLevel.MEMORY_AND_DISK) if shared else made  # computed once for all dependents
+                if shared:
+                    kept.append(every[f])
             return every[f]
 
         for f in self.parents:
             build(f)
-        return Run({f.name: every[f] for f in every}, {f.name: good(f) for f in every})
+        return Run({f.name: every[f] for f in every}, {f.name: good(f) for f in every}, kept)
 
 
 @dataclass
@@ -115,6 +126,12 @@ class Run:
 
     rows: dict[str, DataFrame]
     good: dict[str, DataFrame]
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give up the rows that were kept for several dependents."""
+        for df in self.kept:
+            df.unpersist()
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.good[name]

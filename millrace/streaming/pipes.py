@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +24,14 @@ def tumbling(stream: DataFrame, at: str, width: str, lateness: str, by: list[str
     return stream.withWatermark(at, lateness).groupBy(F.window(at, width).alias("w"), *by).agg(*aggs).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "*").drop("w")
 
 
-def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run what there is through ``each`` batch by batch; offsets in ``checkpoint`` make a later call go on after it."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> list[dict]:
+    """Run what there is through ``each`` batch by batch; offsets in ``checkpoint`` make a later call go on after it.
+
+    Returns the progress of the batches: ``batchId``, ``numInputRows``, ``processedRowsPerSecond`` and more.
+    """
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p for p in query.recentProgress]
 
 
 def fork(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
