@@ -17,7 +17,7 @@ def normalise(text: Column) -> Column:
     """Without square brackets, back ticks and punctuation; ``_`` and the slash of I/O stay; outer blanks go."""
     bare = F.regexp_replace(F.regexp_replace(text, r"[\[\]]", ""), "`s|`", "")
     kept = F.regexp_replace(bare, r"(?<![Ii])/|/(?![Oo])|[\p{P}+=<>&&[^_/]]", " ")
-    return F.regexp_replace(kept, r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(kept, r"^[ \n]+|[ \n]+\z", "")
 
 
 def split_names(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -17,6 +17,8 @@ from millrace.tables import load
 
 QUERY = "compiler branch error"
 BINS = 1001
+#: Up to so many rows of three numbers a table is sent to all executors.
+LISTED_ROWS = 200_000
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +47,7 @@ def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_name_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of camel and snake case names [T4 T8]."""
+    """Tokens of camel and snake case names, in any script [T4]."""
     return _docs(spark, folder).select(F.explode(X.split_names(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -55,20 +57,19 @@ def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stem_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of Porter stems of the distinct words [T6]."""
-    words = _word_counts(spark, folder).filter(F.col("term").rlike("^[a-z]+$")).groupBy("term").agg(F.sum("c").alias("n"))
+    """Counts of Porter stems of the distinct words; other than plain letters they stay as they are [T6]."""
+    words = _word_counts(spark, folder).groupBy("term").agg(F.sum("c").alias("n"))
     return words.select(X.stems(F.array("term"))[0].alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
 
 
 def normalised_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    """Characters, bytes and characters left after normalisation [T2 T3 T27]."""
+    """Characters, bytes and the number of brackets and back ticks [T27]."""
     return _docs(spark, folder).select("doc_id", F.char_length("text").alias("chars"), F.octet_length("text").alias("bytes"), (F.length("text") - F.length(F.regexp_replace("text", r"[`\[\]]", ""))).alias("quotes"))
 
 
 def page_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of documents with markup [T7 T9]."""
-    d = _docs(spark, folder).filter(F.contains("text", F.lit("<p>")))
-    return d.select(F.explode(X.html_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Words of all documents, markup taken away [T7]."""
+    return _docs(spark, folder).select(F.explode(X.html_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def idf_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,6 +180,9 @@ def source_model(spark: SparkSession, folder: str) -> DataFrame:
     seen = counts.join(total, "source").select(F.col("source").alias("s"), "bin", (F.log(F.col("n") + alpha) - F.log(F.lit(alpha))).alias("gain"))
     base = total.select(F.col("source").alias("s"), (F.log(F.lit(alpha)) - F.log(F.col("t") + alpha * BINS)).alias("low"))
     sizes = bins.groupBy("doc_id", F.col("source").alias("own")).agg(F.sum("c").alias("len"))
+    seen = cut(seen)
+    if seen.count() <= LISTED_ROWS:  # at most sources x BINS
+        seen = F.broadcast(seen)
     gains = bins.join(seen, "bin").groupBy("doc_id", "s").agg(F.sum(F.col("c") * F.col("gain")).alias("g"))
     scored = gains.join(sizes, "doc_id").join(base, "s").withColumn("lp", F.col("g") + F.col("len") * F.col("low"))
     w = Window.partitionBy("doc_id")
@@ -201,23 +205,24 @@ def corpus_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merges(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 20 merges of a byte-pair vocabulary [T23]."""
+    """A byte-pair vocabulary of 100 merges, or up to the last pair that occurs twice [T23]."""
     words = _word_counts(spark, folder).groupBy("term").agg(F.sum("c").alias("n"))
-    found = merge_vocabulary(cut(words), "term", "n", 20)
+    found = merge_vocabulary(cut(words), "term", "n", 100)
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found, 1)], "nth int, a string, b string")
 
 
 def parts_together(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts in one order, pairs counted inside the order's short list; as in the SQL, only pairs of two orders or more [A26 J12]."""
+    """Parts in one order, pairs counted inside the order's short list [A26 J12]."""
     baskets = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return baskets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return baskets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def context_probability(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines and distinct orders by return flag and ship line status, with the levels above; counts, not probabilities [A27]."""
-    c = load(spark, folder, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"))
-    return c.select("l_returnflag", "l_linestatus", "n", "orders")
+    """P(line status | return flag), P(return flag) above it, and lines and distinct orders of each level [A27 A28]."""
+    c = load(spark, folder, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"), F.grouping_id().alias("_g"))
+    level = Window.partitionBy("_g", F.when(F.col("_g") == 0, F.col("l_returnflag")))  # flags and statuses are few
+    return c.select("l_returnflag", "l_linestatus", "n", "orders", F.round(F.col("n") / F.sum("n").over(level), 6).alias("p"))
 
 
 def flag_given_supplier(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,14 +242,14 @@ def coedit_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders grouped by their shape: number of lines and sorted flags, with the commonest priorities [A29 A30 A32]."""
+    """Orders grouped by their shape: number of lines and sorted flags, with how many priorities they have, for shapes of two orders or more [A32]."""
     shape = load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
     o = load(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     return shape.join(o, "l_orderkey").groupBy("lines", "flags").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderpriority").alias("priorities")).filter("n >= 2")
 
 
 def undeclared_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers of a part in orders that no earlier order of it names, counted [A31 J4]."""
+    """Suppliers of a part in orders that no earlier order of it names, counted [J4]."""
     li = load(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
     known = li.filter("l_shipdate < '1998-01-01'").select("l_partkey", "l_suppkey").distinct()
     return li.filter("l_shipdate >= '1998-01-01'").join(known, ["l_partkey", "l_suppkey"], "left_anti").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
@@ -255,24 +260,36 @@ def key_index(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("l_partkey")), ",").alias("parts"), F.count(F.lit(1)).alias("n"))
 
 
+def _centres(e: DataFrame) -> DataFrame:
+    """``label, c``: the mean vector of each label, one row per label."""
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    return mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
 def nearest_to_centre(spark: SparkSession, folder: str) -> DataFrame:
     """The three vectors of each label nearest to its centre [M3 O6]."""
-    e = load(spark, folder, "embeddings").filter("embedding IS NOT NULL")
-    at = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    centre = at.groupBy("label", "i").agg(F.avg("x").alias("c"))
-    d = at.join(centre, ["label", "i"]).groupBy("vec_id", "label").agg(F.round(F.sqrt(F.sum((F.col("x") - F.col("c")) ** 2)), 4).alias("distance"))
+    e = load(spark, folder, "embeddings").filter("embedding IS NOT NULL").select("vec_id", "label", "embedding")
+    gap = F.zip_with("embedding", "c", lambda x, c: (x.cast("double") - c) * (x.cast("double") - c))
+    d = e.join(_centres(e), "label").select("vec_id", "label", F.round(F.sqrt(_sum(gap)), 4).alias("distance"))
     w = Window.partitionBy("label").orderBy("distance", "vec_id")
     return d.withColumn("place", F.row_number().over(w)).filter("place <= 3")
 
 
 def centre_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors assigned to the centre of highest cosine, against their labels: precision, recall and F1 [M10 M12]."""
-    e = load(spark, folder, "embeddings").filter("embedding IS NOT NULL")
-    at = e.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    centre = at.groupBy("label", "i").agg(F.avg("x").alias("c"))
-    length = centre.groupBy("label").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("len")).withColumnRenamed("label", "guess")
-    dots = at.join(centre.withColumnRenamed("label", "guess"), "i").groupBy("vec_id", "label", "guess").agg(F.sum(F.col("x") * F.col("c")).alias("dot")).join(length, "guess")
-    best = dots.groupBy("vec_id", "label").agg(F.max_by("guess", F.struct(F.round(F.col("dot") / F.col("len"), 7), -F.col("guess"))).alias("guess"))
+    e = load(spark, folder, "embeddings").filter("embedding IS NOT NULL").select("vec_id", "label", "embedding")
+    # all centres are one value of labels x dimensions numbers
+    every = _centres(e).agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("guess"), F.col("c"), F.sqrt(_sum(F.transform("c", lambda x: x * x))).alias("len")))).alias("every"))
+
+    def match(k: Column) -> Column:
+        dot = _sum(F.zip_with("embedding", k["c"], lambda x, c: x.cast("double") * c))
+        return F.struct(F.round(dot / k["len"], 7).alias("cos"), (-k["guess"]).alias("g"), k["guess"].alias("guess"))
+
+    best = e.withColumn("every", every.scalar()).filter("label IS NOT NULL").select("vec_id", "label", F.array_max(F.transform("every", match))["guess"].alias("guess"))
     found = best.groupBy(F.col("guess").alias("label")).agg(F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("guess") == F.col("label")).alias("hit"))
     truth = best.groupBy("label").agg(F.count(F.lit(1)).alias("relevant"))
     both = truth.join(found, "label", "left").withColumns({"retrieved": F.coalesce("retrieved", F.lit(0)).cast("bigint"), "hit": F.coalesce("hit", F.lit(0)).cast("bigint")})
@@ -300,8 +317,40 @@ def kmeans_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("members"), F.round(F.count(F.lit(1)) / F.lit(n), 6).alias("weight"))
 
 
+def code_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts as vectors of 103 hashed words, clustered: of each cluster the features at least half of its texts have, and the three texts that have most of them [M2 M1]."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    d = _docs(spark, folder).select("doc_id", F.array_distinct(F.transform(X.words(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(103)).cast("int"))).alias("h")).filter("size(h) > 0 AND doc_id IS NOT NULL")
+    d = cut(d)
+    out = "cluster int, members bigint, pattern string, snippets string"
+    if d.limit(8).count() < 8:
+        return spark.createDataFrame([], out)
+    v = d.withColumn("features", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(102)), lambda i: F.array_contains("h", i).cast("double"))))
+    placed = cut(KMeans(k=8, seed=7, maxIter=10).fit(v.select("features")).transform(v).select("doc_id", "h", F.col("prediction").alias("cluster")))
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    common = placed.select("cluster", F.explode("h").alias("f")).groupBy("cluster", "f").agg(F.count(F.lit(1)).alias("n")).join(sizes, "cluster").filter("2 * n >= members")
+    patterns = common.groupBy("cluster").agg(F.array_sort(F.collect_list("f")).alias("p"))
+    best = placed.join(patterns, "cluster").select("cluster", "doc_id", F.size(F.array_intersect("h", "p")).alias("k"))
+    top = best.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("k"), "doc_id"))).filter("i <= 3").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "doc_id"))).alias("t"))
+    return sizes.join(patterns, "cluster", "left").join(top, "cluster", "left").select("cluster", "members", F.coalesce(F.array_join("p", ","), F.lit("")).alias("pattern"), F.coalesce(F.array_join(F.transform("t", lambda t: t["doc_id"].cast("string")), ","), F.lit("")).alias("snippets"))
+
+
+def principal_axes(spark: SparkSession, folder: str) -> DataFrame:
+    """The five principal axes of the vectors, and the share of variance each explains [M12]."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    v = load(spark, folder, "embeddings").filter("embedding IS NOT NULL").select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    if v.limit(6).count() < 6:
+        return spark.createDataFrame([], "axis int, part double")
+    model = PCA(k=5, inputCol="features", outputCol="p").fit(v)
+    return spark.createDataFrame([(i, float(round(x, 6))) for i, x in enumerate(model.explainedVariance.toArray(), 1)], "axis int, part double")
+
+
 def type_induction(spark: SparkSession, folder: str) -> DataFrame:
-    """Types of parts' suppliers by the flags their lines show, by expectation maximisation [M7 M8]."""
+    """Types of parts' suppliers by the flags their lines show, by expectation maximisation [M7]."""
     li = load(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("var"), (F.col("l_orderkey") % 7).alias("func")).agg(F.collect_set("l_returnflag").alias("attrs"))
     types = spark.createDataFrame([("sale", "A"), ("sale", "N"), ("return", "R"), ("return", "A"), ("all", "A"), ("all", "N"), ("all", "R")], "type string, attr string")
     func_p, _, _ = induce_types(li, types, steps=3)
@@ -339,7 +388,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         dedupe_by_content, token_frequency, top_tokens, split_name_tokens, ngram_counts, stem_counts, normalised_lengths, page_words, idf_weights, tf_weights, query_scores, shingle_weights, similar_documents,
         text_blocks, regex_search, import_counts, import_pairs, path_rollup, scaled_word_counts, line_positions, source_model, reservoir, corpus_split, merges, parts_together, context_probability,
-        flag_given_supplier, coedit_scores, line_patterns, undeclared_keys, key_index, nearest_to_centre, centre_agreement, calibration, kmeans_groups, conversion_model, type_induction,
+        flag_given_supplier, coedit_scores, line_patterns, undeclared_keys, key_index, nearest_to_centre, centre_agreement, calibration, kmeans_groups, conversion_model, type_induction, code_patterns, principal_axes,
     )
 }
 
@@ -355,9 +404,10 @@ SQL: dict[str, str] = {
     "dedupe_by_content": "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "token_frequency": f"WITH {_W} SELECT term, CAST(sum(c) AS BIGINT) AS n, count(*) AS docs FROM c GROUP BY 1",
     "top_tokens": rf"WITH d AS (SELECT coalesce(lower(lang[1:2]), '') AS lang, unnest(list_filter(regexp_extract_all(lower(text), '\w+'), lambda t: t NOT IN ({', '.join(repr(x) for x in X.STOP_WORDS)}))) AS term FROM documents WHERE text IS NOT NULL), c AS (SELECT lang, term, count(*) AS n FROM d GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS INTEGER) AS place FROM c) SELECT * FROM r WHERE place <= 20",
-    "split_name_tokens": r"SELECT unnest(regexp_extract_all(lower(replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_', ' ')), '[a-z0-9]+')) AS term, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "split_name_tokens": r"SELECT unnest(regexp_extract_all(lower(replace(regexp_replace(text, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '_', ' ')), '[\p{L}\p{N}]+')) AS term, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "ngram_counts": r"WITH w AS (SELECT regexp_extract_all(lower(text), '\w+') AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w) SELECT gram, count(*) AS n FROM g GROUP BY 1",
     "normalised_lengths": r"SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(strlen(text) AS INTEGER) AS bytes, CAST(length(text) - length(regexp_replace(text, '[`\[\]]', '', 'g')) AS INTEGER) AS quotes FROM documents WHERE text IS NOT NULL",
+    "page_words": r"""SELECT unnest(regexp_extract_all(lower(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '\w+')) AS term, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "idf_weights": f"WITH {_W} SELECT term, count(*) AS df, round(log10(any_value(n) / count(*)), 6) AS idf FROM c, n GROUP BY 1",
     "tf_weights": f"WITH {_W} SELECT doc_id, term, round(c / sum(c) OVER p, 6) AS tf, round(0.5 + 0.5 * c / max(c) OVER p, 6) AS tf_short FROM c WINDOW p AS (PARTITION BY doc_id)",
     "query_scores": f"""WITH {_W}, i AS (SELECT term, log10(any_value(n) / count(*)) AS idf FROM c, n GROUP BY 1), v AS (SELECT doc_id, term, idf, c / sum(c) OVER (PARTITION BY doc_id) * idf AS w FROM c JOIN i USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
@@ -374,8 +424,8 @@ SELECT doc_id, round(score, 6) AS score, round((score - avg(score) OVER ()) / st
     "line_positions": "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, len(l) AS lines, coalesce(list_position(list_transform(l, lambda x: trim(x)), ''), 0) AS pos FROM d) SELECT doc_id, CAST(lines AS INTEGER) AS lines, round(CASE WHEN pos > 0 THEN pos / lines END, 6) AS blank_at FROM p",
     "reservoir": "SELECT coalesce(source, '') AS source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 5",
     "corpus_split": "WITH d AS (SELECT repo, CAST(concat('0x', md5('7:' || coalesce(repo, ''))[1:8]) AS BIGINT) % 100 AS p FROM documents) SELECT CASE WHEN p < 90 THEN 'train' WHEN p < 95 THEN 'validate' ELSE 'test' END AS part, count(*) AS docs, count(DISTINCT repo) AS repos FROM d GROUP BY 1",
-    "parts_together": "WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM e x JOIN e y USING (l_orderkey) WHERE x.l_partkey < y.l_partkey GROUP BY ALL HAVING count(*) >= 2",
-    "context_probability": "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "parts_together": "WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM e x JOIN e y USING (l_orderkey) WHERE x.l_partkey < y.l_partkey GROUP BY ALL",
+    "context_probability": "WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS orders, GROUPING(l_returnflag, l_linestatus) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)) SELECT l_returnflag, l_linestatus, n, orders, round(n / sum(n) OVER (PARTITION BY g, CASE WHEN g = 0 THEN l_returnflag END), 6) AS p FROM c",
     "flag_given_supplier": "WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY l_suppkey), 6) AS p FROM c",
     "coedit_scores": "WITH e AS (SELECT DISTINCT l_partkey AS f, l_orderkey AS e FROM lineitem), s AS (SELECT f, e, count(*) OVER (PARTITION BY e) AS size FROM e), t AS (SELECT f, sum(0.01 / size) AS edit FROM s GROUP BY 1), c AS (SELECT b.f AS base, s.f, sum(1 / s.size) AS co FROM s JOIN s b USING (e) WHERE b.f % 50 = 0 GROUP BY ALL) SELECT base, f, round(co + edit, 6) AS score FROM c JOIN t USING (f)",
     "line_patterns": "WITH s AS (SELECT l_orderkey, count(*) AS lines, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags FROM lineitem GROUP BY 1) SELECT lines, flags, count(*) AS n, count(DISTINCT o_orderpriority) AS priorities FROM s JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(*) >= 2",

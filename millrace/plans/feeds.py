@@ -288,7 +288,12 @@ def udf_surface(spark: SparkSession, folder: str) -> DataFrame:
     def middle(sizes: pd.Series) -> float:
         return float(sizes.median())
 
-    return load(spark, folder, "part").select("p_brand", F.explode(words("p_name")).alias("w")).groupBy("p_brand").agg(middle(F.length("w").cast("double")).alias("median"), F.count(F.lit(1)).alias("n"))
+    @F.pandas_udf(T.LongType())
+    def number(sizes: pd.Series) -> int:
+        return len(sizes)
+
+    size = F.length("w").cast("double")
+    return load(spark, folder, "part").select("p_brand", F.explode(words("p_name")).alias("w")).groupBy("p_brand").agg(middle(size).alias("median"), number(size).alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

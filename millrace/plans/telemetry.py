@@ -63,12 +63,12 @@ def daily_active(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_active_users_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct users of each day, as they are appended to the table of active users [A46 K8 R3]."""
+    """Distinct users of each day, as they are appended to the table of active users [A46]."""
     return _events(spark, folder).filter("value > 1").select("user_id", "day").distinct()
 
 
 def weekly_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events per user and number of whole weeks before the end [A16 A23]."""
+    """Events per user and number of whole weeks before the end [A23]."""
     week = F.expr(f"cast(timestampdiff(DAY, ts, timestamp_ntz'{END} 00:00:00') div 7 as int)")
     return load(spark, folder, "events").groupBy("user_id", week.alias("weeks_ago"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -109,7 +109,7 @@ def incremental_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def main_event_by_value(spark: SparkSession, folder: str) -> DataFrame:
-    """The event type with most value of each user [A17 A21]."""
+    """The event type with most value of each user [A21]."""
     e = load(spark, folder, "events").select("user_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     return mode_by_weight(e, ["user_id"], "event_type", "cents")
 
@@ -147,13 +147,13 @@ def spread_by_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def props_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """A field of the JSON properties, extracted and summed [P16 S10 T-json]."""
+    """A field of the JSON properties, extracted and summed [P16]."""
     k = F.get_json_object("props", "$.k").try_cast("bigint")
     return load(spark, folder, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(k).alias("k_n"), F.max(k).alias("k_max"))
 
 
 def source_map_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """Completions by source: a map column unnested and summed, with each source's share [J6 A17 A42]."""
+    """Completions by source: a map column unnested and summed, with each source's share [J6 A42]."""
     rows = load(spark, folder, "kite_status_normalized").select(F.explode("properties__completions_shown_by_source").alias("source", "n"))
     sums = rows.groupBy("source").agg(F.sum("n").alias("shown"), F.count(F.lit(1)).alias("reports"))
     return sums.select("source", "shown", "reports", F.round(share("shown"), 6).alias("part"))
@@ -258,7 +258,7 @@ def longest_step(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def calendar_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Weekly and monthly totals per customer beside the year's [A43 J11]."""
+    """Monthly totals per customer, with the weeks behind them, beside the year's [A43 J11]."""
     o = load(spark, folder, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), F.weekofyear("o_orderdate").alias("week"), F.month("o_orderdate").alias("month"), "o_totalprice")
     year = o.groupBy("o_custkey", "year").agg(F.round(F.sum("o_totalprice"), 2).alias("year_total"))
     return o.groupBy("o_custkey", "year", "month").agg(F.round(F.sum("o_totalprice"), 2).alias("month_total"), F.count_distinct("week").alias("weeks")).join(year, ["o_custkey", "year"])
@@ -278,7 +278,7 @@ def clean_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def active_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Messages with editing activity, per OS and client date [P1 P5 P6 P21 P29 T28]."""
+    """Messages with editing activity, per OS and client date [P1 P5 P6 P21 T28]."""
     k = load(spark, folder, "kite_status_normalized").filter("coalesce(properties__python_events, 0) + coalesce(properties__python_edit, 0) > 0")
     date = F.to_date(F.regexp_extract("properties__client_version", r"^1\.(\d{8})\.", 1).substr(1, 8), "yyyyMMdd")
     good = k.filter(F.col("properties__client_version").rlike(r"^1\.\d{8}\."))
@@ -286,14 +286,14 @@ def active_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cpu_peaks(spark: SparkSession, folder: str) -> DataFrame:
-    """The largest of the samples listed in each message's text, per file [P20 P18]."""
+    """The largest of the samples listed in each message's text, per file [P20]."""
     samples = F.split(F.get_json_object("properties", "$.cpu_samples"), ",")
     peak = F.array_max(F.transform(samples, lambda x: x.try_cast("double")))
     return load(spark, folder, "kite_status").select("prefix", peak.alias("peak")).groupBy("prefix").agg(F.count("peak").alias("n"), F.max("peak").alias("most"), F.round(F.avg("peak"), 8).alias("mean"))
 
 
 def error_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows routed aside by reason, and the good ones counted [P7 S9 S10 S13 S18]."""
+    """Rows routed aside by reason, and the good ones counted [P7]."""
     k = load(spark, folder, "kite_status")
     reason = F.when(F.col("userid").isNull() | (F.col("userid") == ""), "no user").when(F.col("event").isNull() | (F.col("event") == ""), "no event").when(~F.coalesce("properties", F.lit("")).startswith("{"), "no object").otherwise("good")
     return k.groupBy("prefix", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
