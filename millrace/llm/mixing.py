@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.clean import plain
-from millrace.llm.subjects import Hasher, Model, classify_batch
-from millrace.llm.tokens import VOCABULARY, count_tokens
+from millrace.llm.subjects import PARSED, Model, Parsed, Reader, classify_parsed, parse_units
+from millrace.llm.tokens import VOCABULARY
 from millrace.session import cut
 
 #: Rows that one window of the sampling step holds at most, about.
@@ -68,27 +68,39 @@ def plain_source(c) -> F.Column:
     return F.regexp_replace(plain(c), r"[\s\-_]+", "_")
 
 
-def measured(documents: DataFrame, model: Model, doc_id: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+def parsed_for_mixing(documents: DataFrame, doc_id: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Documents parsed and measured in one pass over their whole texts, with plain source and language."""
+    lang = F.coalesce(F.nullif(F.regexp_extract(plain("lang"), r"^\p{L}+", 0), F.lit("")), F.lit("other"))
+    given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), plain_source("source").alias("source"), lang.alias("lang"), "text")
+    return parse_units(given, {"source": "string", "lang": "string"}, vocabulary)
+
+
+def measured(documents: DataFrame, model: Model, doc_id: str = "doc_id", vocabulary: str = VOCABULARY, parsed: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, lang, topic, tokens`` of each non-blank text, read whole and once.
 
     ``lang`` is the first part of the language tag in plain form (``en`` of ``EN-us``), or ``other`` where there is none;
-    ``topic`` is the subject most units are about, or ``none``.
+    ``topic`` is the subject most units are about, or ``none``. Documents without an id are left out. ``parsed`` is a
+    result of :func:`parsed_for_mixing`.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the classifier's fitting sample
-    lang = F.coalesce(F.nullif(F.regexp_extract(plain("lang"), r"^\p{L}+", 0), F.lit("")), F.lit("other"))
-    given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), plain_source("source").alias("source"), lang.alias("lang"), "text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    units = parsed_for_mixing(documents, doc_id, vocabulary) if parsed is None else parsed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(shared.value.slots)
+        reader = Reader(shared.value)
+        names = [*reader.model.subjects, "none"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = b.column("text").to_pylist()
-                topics = [min(found, key=lambda s: (-found[s], s)) if found else "none" for found in classify_batch(shared.value, hasher, texts)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(topics, pa.string()), pa.array(count_tokens(texts, vocabulary), pa.int32())], names=["doc_id", "source", "lang", "topic", "tokens"])
-
-    return given.mapInArrow(run, "doc_id bigint, source string, lang string, topic string, tokens int").filter("tokens > 0")
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                docs, subjects, ns = classify_parsed(reader, Parsed(b))
+                order = np.lexsort((subjects, -ns, docs))  # of a text the subject of most units, then the first by name
+                docs, first = np.unique(docs[order], return_index=True)
+                topic = np.full(b.num_rows, len(names) - 1)
+                topic[docs] = subjects[order][first]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([names[t] for t in topic], pa.string()), b.column("size")], names=["doc_id", "source", "lang", "topic", "tokens"])
+
+    there = units.filter("words IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source", "lang", "size", *PARSED)
+    return there.mapInArrow(run, "doc_id bigint, source string, lang string, topic string, tokens int").filter("tokens > 0")
 
 
 def mix(documents: DataFrame, targets: DataFrame, fill: float = 1.0) -> DataFrame:

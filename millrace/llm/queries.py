@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.clean import clean_user, instant_ms, plain, strip
-from millrace.llm.mixing import measured, mix, share_report
+from millrace.llm.mixing import measured, mix, parsed_for_mixing, share_report
 from millrace.llm.packing import fill_report, pack, token_sizes
 from millrace.llm.sketch import distinct_counts, doubled
-from millrace.llm.subjects import document_subjects, fit_from, subject_units
+from millrace.llm.subjects import MIN_UNITS, fit_from, parse_units, subject_units
 from millrace.llm.terms import ngram_frequencies, value_frequencies
 from millrace.session import cut
 from millrace.tables import load
@@ -71,14 +71,16 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(packed)
 
 
-def _model(spark: SparkSession, folder: str):
-    return fit_from(load(spark, folder, "subject_examples"), load(spark, folder, "documents"))
+def _parsed(documents: DataFrame) -> DataFrame:
+    return cut(parse_units(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The selected documents with their copies."""
-    sized = cut(measured(load(spark, folder, "documents"), _model(spark, folder)))
-    return mix(sized, load(spark, folder, "mix_targets"))
+    documents = load(spark, folder, "documents")
+    parsed = cut(parsed_for_mixing(documents))
+    model = fit_from(load(spark, folder, "subject_examples"), documents, parsed=parsed)
+    return mix(cut(measured(documents, model, parsed=parsed)), load(spark, folder, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,15 +88,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return share_report(p9_mix(spark, folder), load(spark, folder, "mix_targets"))
 
 
+def _subject_units(spark: SparkSession, folder: str) -> DataFrame:
+    documents = load(spark, folder, "documents")
+    parsed = _parsed(documents)
+    return subject_units(documents, fit_from(load(spark, folder, "subject_examples"), documents, parsed=parsed), parsed=parsed)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every subject that at least two units of a text are about."""
-    return document_subjects(load(spark, folder, "documents"), _model(spark, folder)).select("doc_id", "subject")
+    return _subject_units(spark, folder).filter(F.col("units") >= MIN_UNITS).select("doc_id", "subject")
 
 
 def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus by subject: documents about it, documents that mention it, and units."""
-    found = subject_units(load(spark, folder, "documents"), _model(spark, folder))
-    return found.groupBy("subject").agg(F.count_if(F.col("units") >= 2).alias("documents"), F.count(F.lit(1)).alias("mentions"), F.sum("units").alias("units"))
+    return _subject_units(spark, folder).groupBy("subject").agg(F.count_if(F.col("units") >= 2).alias("documents"), F.count(F.lit(1)).alias("mentions"), F.sum("units").alias("units"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_tags, p1_ngrams, p6_found, p6_counts, p8_packing, p8_report, p9_mix, p9_shares, p10_found, p10_composition)}

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.tokens import count_tokens
 from millrace.session import cut
 
 #: Hash buckets for word n-grams; the model holds weights only for those met when it was fitted.
@@ -29,7 +30,7 @@ KNOWN_PART, KNOWN_DOCUMENTS = 0.00075, 3
 FIT_DOCUMENTS = 4_000
 #: A sentence opening starts at least this part of the sentences it is learnt from, so there are at most 4 / OPENING_PART.
 OPENING_PART = 0.00013
-#: Openings that a task holds before it passes their counts on.
+#: First words of sentences that a task holds before it passes their counts on.
 HELD_OPENINGS = 200_000
 #: A text is about a subject if at least this many of its units are.
 MIN_UNITS = 2
@@ -136,34 +137,64 @@ def words(part: str) -> list[str]:
     return [w.rstrip("s") or w if len(w) > 3 else w for w in _WORD.findall(_CAMEL.sub(" ", part).lower())]
 
 
+def crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+#: Odd multipliers that mix the hashes of words into that of a pair, or of the words of an opening.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_ALL = (1 << 64) - 1
+
+
+def pair(a: int, b: int) -> int:
+    """The bucket of a pair of words from the words' buckets; :func:`pairs_of` does the same for arrays."""
+    return ((a * MIX[0] + b * MIX[1] + 1) & _ALL) >> 32
+
+
+def pairs_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) * np.uint64(MIX[0]) + b.astype(np.uint64) * np.uint64(MIX[1]) + np.uint64(1)) >> np.uint64(32)
+
+
 class Hasher:
     """Buckets of word n-grams (one and two words), or lines of a model, with a memory of bounded size."""
 
     def __init__(self, slots: dict[int, int] | None = None) -> None:
         self.slots, self.known = slots, {}
 
-    def one(self, gram: str) -> int:
-        if (k := self.known.get(gram)) is None:
+    def one(self, word: str) -> int:
+        if (k := self.known.get(word)) is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            k = zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-            k = self.known[gram] = k if self.slots is None else self.slots.get(k, 0)
+            k = self.known[word] = crc(word)
         return k
 
     def grams(self, ws: list[str]) -> list[int]:
-        return [self.one(w) for w in ws] + [self.one(f"{a} {b}") for a, b in zip(ws, ws[1:])]
+        own = [self.one(w) for w in ws]
+        own += [pair(a, b) for a, b in zip(own, own[1:])]
+        return own if self.slots is None else [self.slots.get(k, 0) for k in own]
+
+
+#: The kinds of opening, and the places of the words that each looks at.
+OPENINGS = {"2": (0, 1), "s": (0, 2), "3": (0, 1, 2), "q": (0, 2, 3)}
 
 
 def _openings(tokens: list[str]) -> tuple[tuple, ...] | None:
     """What may tell a sentence start: the first words, with and without the second."""
     if len(tokens) < 4:
         return None
-    a, b, c, d = tokens[:4]
-    return (("2", a, b), ("s", a, c), ("3", a, b, c), ("q", a, c, d))
+    return tuple((kind, *[tokens[i] for i in places]) for kind, places in OPENINGS.items())
+
+
+def _plain_token(token: str) -> str:
+    return "0" if (low := token.lower()).isdigit() else low
 
 
 def _tokens(sentence: str) -> list[str]:
-    return ["0" if t.isdigit() else t for t in _TOKEN.findall(sentence.lower())]
+    return [_plain_token(t) for t in _TOKEN.findall(sentence)]
+
+
+#: What may stand before a sentence on its line: a mark of a list or heading, or a label.
+_BEFORE = re.compile(r"\s*(?:[-*+•]\s+|[0-9]+[.)]\s+|#+\s*|\w+: )")
 
 
 def _sentences(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -172,7 +203,8 @@ def _sentences(texts: Iterable[str]) -> Iterator[list[str]]:
         for parts in units(readable(text)):
             if len(parts) != 1:
                 continue
-            ts = _tokens(re.sub(r"^\s*(?:[-*]\s+(?:`[^`]*`\s*\(\w+\):)?|#+\s*|\w+: |wip )", "", parts[0]))
+            before = _BEFORE.match(parts[0])
+            ts = _tokens(parts[0][before.end() :] if before else parts[0])
             if 4 <= len(ts) <= LONG_WORDS:
                 yield ts
 
@@ -199,35 +231,43 @@ def learn_openings(texts: Iterable[str], least: int = 4, share: float = 0.8, par
 
 
 def openings_of(texts: DataFrame, least: int = 4, share: float = 0.8, part: float = OPENING_PART) -> frozenset:
-    """:func:`learn_openings` over the one column of a table: starts are counted first, then what starts often inside."""
-    spark = texts.sparkSession
-
-    def counted(patterns: Callable[[Iterable[str]], Iterator[tuple]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: Counter = Counter()
-            for b in batches:
-                for text in b.column(0).to_pylist():
-                    held.update(patterns([text]))
-                    if len(held) > HELD_OPENINGS:
-                        yield flushed(held)
-            yield flushed(held)
-
-        def flushed(held: Counter) -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"opening": pa.array([" ".join(p) for p in held], pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-            held.clear()
-            return out
-
-        return texts.mapInArrow(run, "opening string, n bigint").groupBy("opening").agg(F.sum("n").alias("n"))
-
-    # the empty pattern counts the sentences
-    starts = cut(counted(lambda ts: (p for s in _sentences(ts) for p in ((), *_openings(s)))).filter(F.col("n") >= least))
-    sentences = starts.filter("opening = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    often = {tuple(r.opening.split(" ")): r.n for r in starts.filter((F.col("opening") != "") & (F.col("n") >= max(least, part * sentences))).collect()}
+    """:func:`learn_openings` over the one column of a table, which is parsed once for it."""
+    name = texts.columns[0]
+    return learned_openings(cut(parse_units(texts.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(name).alias("text")))), least, share, part)
+
+
+def learned_openings(parsed: DataFrame, least: int = 4, share: float = 0.8, part: float = OPENING_PART) -> frozenset:
+    """:func:`learn_openings` over parsed texts: starts were counted with the parsing, what starts often is counted inside."""
+    spark = parsed.sparkSession
+    t = F.split("first", " ")
+    patterns = F.array(*[F.concat_ws(" ", F.lit(kind), *[t[i] for i in places]) for kind, places in OPENINGS.items()])
+    firsts = parsed.filter("first IS NOT NULL")
+    sentences = firsts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    starts = firsts.select(F.explode(patterns).alias("opening"), "n").groupBy("opening").agg(F.sum("n").alias("n"))
+    often = {tuple(r.opening.split(" ")): r.n for r in starts.filter(F.col("n") >= max(least, part * sentences)).collect()}  # at most 4 / part
     if not often:
         return frozenset()
-    shared = spark.sparkContext.broadcast(frozenset(often))
-    inside = {tuple(r.opening.split(" ")): r.n for r in counted(lambda ts: _inside(_sentences(ts), shared.value)).collect()}
-    return frozenset(p for p, n in often.items() if n >= share * (n + inside.get(p, 0)))
+    names = sorted(often)
+    shared = spark.sparkContext.broadcast(pattern_hashes(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
+        order = np.argsort(keys, kind="stable")
+        counts = np.zeros(len(keys), np.int64)
+        for b in batches:
+            p = Parsed(b)
+            use = np.flatnonzero(p.skip >= 0)
+            at, _ = _positions(p.token_start[use] + p.skip[use], p.part_tokens[use] - p.skip[use])
+            for hashes in _hashes_at(p.tokens, at).values():
+                place = np.searchsorted(keys[order], hashes)
+                met = order[np.minimum(place, len(keys) - 1)]
+                np.add.at(counts, met[keys[met] == hashes], 1)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(found, pa.int32()), "n": pa.array(counts[found], pa.int64())})
+
+    inside = {r.i: r.n for r in parsed.filter("words IS NOT NULL").select(*PARSED).mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    shared.unpersist()
+    return frozenset(p for i, p in enumerate(names) if often[p] >= share * (often[p] + inside.get(i, 0)))
 
 
 def cut_long(sentence: str, openings: frozenset) -> list[str]:
@@ -238,7 +278,7 @@ def cut_long(sentence: str, openings: frozenset) -> list[str]:
     found = list(_TOKEN.finditer(sentence))
     if len(found) <= SHORT_WORDS or not openings or len(found) <= LONG_WORDS and sentence.rstrip()[-1:] in ".?!":
         return [sentence]
-    low = ["0" if (t := m.group().lower()).isdigit() else t for m in found]
+    low = [_plain_token(m.group()) for m in found]
     cuts, last = [0], 0
     for i in range(1, len(low) - 3):
         if i - last >= 4 and any(o in openings for o in _openings(low[i : i + 4])):
@@ -256,6 +296,226 @@ def text_units(text: str, openings: frozenset) -> Iterator[list[list[str]]]:
                 yield lists
 
 
+#: Columns of a parsed text: hashes of its words, in parts; of each part the number of words, whether it starts a unit,
+#: and, where it is a unit of its own, its tokens, the words of each, whether it may be cut, and the tokens before its
+#: sentence (-1: not one to learn openings from).
+PARSED = ("words", "part_words", "unit", "tokens", "token_words", "part_tokens", "long", "skip")
+_ARRAYS = ", ".join(f"{c} array<int>" for c in PARSED)
+
+
+class _Numbers(dict):
+    """Numbers tokens in the order in which they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Parser:
+    """Batches of texts as arrays of numbers. What a token gives is kept, so that a common token is taken apart once."""
+
+    def __init__(self) -> None:
+        self._forget()
+        self.firsts: Counter = Counter()
+
+    def _forget(self) -> None:
+        self.known, self.plain = _Numbers(), []
+        self.hash, self.words_of = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.words, self.word_at = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Take apart the tokens that are new."""
+        new = list(self.known)[len(self.plain) :]
+        if not new:
+            return
+        own = [[crc(w) for w in words(t)] for t in new]
+        plain = [_plain_token(t) for t in new]
+        n = np.array([len(o) for o in own], np.int64)
+        self.word_at = np.r_[self.word_at, len(self.words) + _starts(n)]
+        self.words_of = np.r_[self.words_of, n]
+        self.words = np.r_[self.words, np.array([w for o in own for w in o], np.uint32)]
+        self.hash = np.r_[self.hash, np.array([crc(t) for t in plain], np.uint32)]
+        self.plain += plain
+
+    def parse(self, texts: list[str | None]) -> dict[str, pa.Array]:
+        """The columns PARSED of texts, empty for null ones; first words of their sentences are counted in ``firsts``."""
+        if len(self.known) > 300_000:
+            self._forget()
+        number = self.known.__getitem__
+        ids: list[int] = []
+        sizes: list[int] = []
+        unit: list[int] = []
+        single: list[int] = []
+        long: list[int] = []
+        skip: list[int] = []
+        parts_of: list[int] = []
+        firsts: list[int] = []
+        for text in texts:
+            held = len(sizes)
+            for parts in units(readable(text)) if text else ():
+                alone = len(parts) == 1
+                new = 1
+                for part in parts:
+                    raw = _TOKEN.findall(part)
+                    n = len(raw)
+                    k = -1
+                    cut_ = 0
+                    if alone:
+                        before = _BEFORE.match(part)
+                        k = len(_TOKEN.findall(before.group())) if before else 0
+                        if 4 <= n - k <= LONG_WORDS:
+                            firsts.append(len(ids) + k)
+                        else:
+                            k = -1
+                        cut_ = int(n > SHORT_WORDS and not (n <= LONG_WORDS and part.rstrip()[-1:] in ".?!"))
+                    ids.extend(map(number, raw))
+                    sizes.append(n), unit.append(new), single.append(alone), skip.append(k), long.append(cut_)
+                    new = 0
+            parts_of.append(len(sizes) - held)
+        self._learn()
+        flat, size, alone = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(single, bool)
+        plain = self.plain
+        self.firsts.update(" ".join([plain[i] for i in ids[f : f + 4]]) for f in firsts)
+        n_words = self.words_of[flat]
+        start = _starts(size)
+        total = np.r_[0, np.cumsum(n_words)]
+        part_words = total[start + size] - total[start] if len(size) else size
+        own = np.repeat(alone, size)
+        per_doc = np.array(parts_of, np.int64)
+        doc = np.repeat(np.arange(len(per_doc)), per_doc)
+        every = np.repeat(self.word_at[flat] - total[:-1], n_words) + np.arange(total[-1])
+        values = {"words": self.words[every].view(np.int32), "part_words": part_words, "unit": unit, "tokens": self.hash[flat[own]].view(np.int32), "token_words": n_words[own], "part_tokens": np.where(alone, size, 0), "long": long, "skip": skip}
+        docs = len(per_doc)
+        lengths = {"words": np.bincount(doc, part_words, docs), "tokens": np.bincount(doc, np.where(alone, size, 0), docs)}
+        lengths["token_words"] = lengths["tokens"]
+        return {c: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths.get(c, per_doc))].astype(np.int32)), pa.array(np.asarray(values[c], np.int32))) for c in PARSED}
+
+
+def parse_units(documents: DataFrame, keep: dict[str, str] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """Whole texts parsed once for all that follows: ``doc_id``, the columns ``keep`` (name and type), ``size`` and PARSED.
+
+    ``documents`` has ``doc_id, text`` and ``keep``. Null and blank texts are left out. ``size`` is the number of tokens of
+    the vocabulary, if one is given. Further rows, which have ``first`` and ``n`` alone, count the first words of sentences.
+    """
+    kept = keep or {}
+    schema = ", ".join(["doc_id bigint", *[f"{c} {t}" for c, t in kept.items()], "size int", _ARRAYS, "first string", "n bigint"])
+    ints = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = Parser()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                texts = b.column("text").to_pylist()
+                good = [i for i, t in enumerate(texts) if not t.isspace()]
+                b, texts = b.take(pa.array(good, pa.int64())), [texts[i] for i in good]
+                cols = [b.column(c) for c in ("doc_id", *kept)]
+                size = pa.array(count_tokens(texts, vocabulary), pa.int32()) if vocabulary else pa.nulls(len(texts), pa.int32())
+                parsed = parser.parse(texts)
+                yield batch([*cols, size, *[parsed[c].cast(ints) for c in PARSED], pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.int64())])
+                if len(parser.firsts) > HELD_OPENINGS:
+                    yield firsts(parser, whole.schema)
+        if parser.firsts:
+            yield firsts(parser, whole.schema)
+
+    def firsts(parser: Parser, given: pa.Schema) -> pa.RecordBatch:
+        n = len(parser.firsts)
+        nulls = [pa.nulls(n, given.field(c).type) for c in ("doc_id", *kept)]
+        out = batch([*nulls, pa.nulls(n, pa.int32()), *[pa.nulls(n, ints) for _ in PARSED], pa.array(list(parser.firsts), pa.string()), pa.array(list(parser.firsts.values()), pa.int64())])
+        parser.firsts.clear()
+        return out
+
+    def batch(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", *kept, "size", *PARSED, "first", "n"])
+
+    return documents.select("doc_id", *kept, "text").filter("text <> ''").mapInArrow(run, schema)
+
+
+class Parsed:
+    """The parsed texts of a batch as flat arrays."""
+
+    def __init__(self, b: pa.RecordBatch | dict[str, pa.Array]) -> None:
+        column = (lambda c: b.column(c)) if isinstance(b, pa.RecordBatch) else b.__getitem__
+        flat = {c: column(c).flatten().to_numpy(zero_copy_only=False) for c in PARSED}
+        self.words, self.tokens = (flat[c].view(np.uint32) for c in ("words", "tokens"))
+        self.part_words, self.unit, self.token_words, self.part_tokens, self.long, self.skip = (flat[c].astype(np.int64) for c in ("part_words", "unit", "token_words", "part_tokens", "long", "skip"))
+        lengths = column("part_words").value_lengths().to_numpy(zero_copy_only=False)
+        self.n_docs = len(lengths)
+        self.doc = np.repeat(np.arange(self.n_docs), np.nan_to_num(lengths).astype(np.int64))
+        self.word_start, self.token_start = _starts(self.part_words), _starts(self.part_tokens)
+
+    def pieces(self, openings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The parts with long stretches cut at openings, as :func:`cut_long` does: document, unit and words of each."""
+        cut_parts, cut_words = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        use = np.flatnonzero(self.long)
+        if len(use) and len(openings):
+            at, owner = _positions(self.token_start[use], self.part_tokens[use])
+            hit = np.zeros(len(at), bool)
+            for hashes in _hashes_at(self.tokens, at).values():
+                hit |= _among(openings, hashes)
+            parts, places = [], []
+            last_part, last = -1, 0
+            for o, i in zip(owner[hit].tolist(), at[hit].tolist()):
+                p = use[o]
+                if p != last_part:
+                    last_part, last = p, self.token_start[p]
+                if i - last >= 4:
+                    parts.append(p), places.append(i)
+                    last = i
+            if parts:
+                before = np.r_[0, np.cumsum(self.token_words)]
+                cut_parts, cut_at = np.array(parts), np.array(places)
+                cut_words = self.word_start[cut_parts] + before[cut_at] - before[self.token_start[cut_parts]]
+        n = len(self.part_words)
+        start, part, is_cut = np.r_[self.word_start, cut_words], np.r_[np.arange(n), cut_parts], np.r_[np.zeros(n, np.int64), np.ones(len(cut_parts), np.int64)]
+        order = np.lexsort((start, is_cut, part))
+        start, part, is_cut = start[order], part[order], is_cut[order]
+        size = np.diff(np.r_[start, len(self.words)])
+        unit = np.cumsum(np.where(is_cut == 1, 1, self.unit[part] if n else 0))
+        kept = size > 0
+        return self.doc[part[kept]], unit[kept], size[kept]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+
+
+def _positions(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places after the first of each stretch from which four tokens follow in it, and the number of the stretch."""
+    n = np.maximum(size - 4, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return start[owner] + 1 + np.arange(len(owner)) - np.repeat(_starts(n), n), owner
+
+
+def _hashes_at(tokens: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """For each kind of opening the hash of the tokens from each place on."""
+    wide = tokens.astype(np.uint64)
+    out = {}
+    for number, (kind, places) in enumerate(OPENINGS.items()):
+        h = np.full(len(at), number + 1, np.uint64)
+        for m, i in zip(MIX, places):
+            h = h * np.uint64(MIX[0]) + wide[at + i] * np.uint64(m)
+            h ^= h >> np.uint64(29)
+        out[kind] = h
+    return out
+
+
+def pattern_hashes(openings: Iterable[tuple]) -> np.ndarray:
+    """The hashes that :func:`_hashes_at` gives openings."""
+    out = []
+    for kind, *own in openings:
+        tokens = np.zeros(4, np.uint32)
+        for place, t in zip(OPENINGS[kind], own):
+            tokens[place] = crc(t)
+        out.append(_hashes_at(tokens, np.zeros(1, np.int64))[kind][0])
+    return np.array(out, np.uint64)
+
+
+def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return ordered[place] == values
+
+
 @dataclass
 class Model:
     """One-versus-rest linear classifiers over hashed n-grams, with a threshold per subject."""
@@ -278,12 +538,51 @@ class Model:
         return np.add.reduceat(self.weights[flat], np.r_[0, ends[:-1]], axis=0)
 
 
+class Reader:
+    """A model as arrays, for whole batches of parsed texts."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        keys = np.fromiter(model.slots.keys(), np.uint64, len(model.slots))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.lines = keys[order], np.fromiter(model.slots.values(), np.int64, len(model.slots))[order]
+        self.openings = np.sort(pattern_hashes(model.openings))
+
+    def line(self, buckets: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(buckets), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, buckets), len(self.keys) - 1)
+        return np.where(self.keys[place] == buckets, self.lines[place], 0)
+
+    def read(self, parsed: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece its document, unit and evidence; and of each known n-gram its document and line."""
+        doc, unit, size = parsed.pieces(self.openings)
+        piece = np.repeat(np.arange(len(size)), size)
+        w = parsed.words.astype(np.uint64)
+        inside = np.flatnonzero(piece[1:] == piece[:-1]) if len(piece) else np.zeros(0, np.int64)
+        lines = np.r_[self.line(w), self.line(pairs_of(w[inside], w[inside + 1]))]
+        owner = np.r_[piece, piece[inside]]
+        known = lines > 0
+        # a part's n-grams count once
+        both = np.unique(owner[known] * np.int64(len(self.model.weights)) + lines[known])
+        owner, lines = np.divmod(both, len(self.model.weights))
+        z = np.zeros((len(size), len(self.model.subjects)), np.float32)
+        if len(owner):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            z[owner[first]] = np.add.reduceat(self.model.weights[lines], first, axis=0)
+        return doc, unit, z, doc[owner] if len(owner) else owner, lines
+
+
 def fit_linear(grams: list[list[int]], labels: np.ndarray, weight: np.ndarray, n_subjects: int, common: frozenset = frozenset(), rounds: int = 120, l2: float = 2e-6, rate: float = 0.5) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
     """Logistic one-versus-rest weights by AdaGrad over whole passes; ``labels`` -1 means no subject.
 
     Buckets in ``common`` get no weight.
     """
-    own = [list(dict.fromkeys(-1 if k in common else k for k in g)) for g in grams]
+    # equal parts with equal labels are one part with their weights added up
+    merged: dict[tuple, float] = defaultdict(float)
+    for g, label, part in zip(grams, labels.tolist(), weight.tolist()):
+        merged[label, tuple(dict.fromkeys(-1 if k in common else k for k in g))] += part
+    own, labels, weight = [g for _, g in merged], np.array([label for label, _ in merged]), np.array(list(merged.values()))
     flat = np.fromiter((k for g in own for k in g), np.int64)
     used, flat = np.unique(flat, return_inverse=True)
     sizes = np.array([len(g) for g in own])
@@ -381,8 +680,8 @@ def _clear(z: np.ndarray) -> np.ndarray:
     """A line per part with 1 at the subject that it is clearly about, if any."""
     out = np.zeros(z.shape)
     if len(z):
-        best = z.argmax(1)
-        out[np.arange(len(z)), best] = (z.max(1) >= EVIDENCE) & (np.sort(z, 1)[:, -1] - np.sort(z, 1)[:, -2] >= LEAD)
+        first, second = (np.partition(z, -2, 1)[:, -1], np.partition(z, -2, 1)[:, -2]) if z.shape[1] > 1 else (z[:, 0], np.zeros(len(z)))
+        out[np.arange(len(z)), z.argmax(1)] = (first >= EVIDENCE) & (first - second >= LEAD)
     return out
 
 
@@ -411,32 +710,38 @@ def _add_main(model: Model, grams: list[list[int]], counts: np.ndarray) -> None:
             counts[np.unique(np.fromiter((k for g in grams for k in g), np.int64)), whole.argmax()] += 1
 
 
-def spread_of(documents: DataFrame, text: str = "text") -> Spread:
+def spread_of(documents: DataFrame, text: str = "text", parsed: DataFrame | None = None) -> Spread:
     """What ``fit`` counts of n-grams, over all documents of a table, whole texts read.
 
     Only n-grams with a line in the model are counted, which are those of the fitting sample: a task holds one number
-    for each and each subject.
+    for each and each subject. ``parsed`` are the documents as :func:`parse_units` gives them, if that is done.
     """
     spark = documents.sparkSession
-    texts = documents.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    n_docs = texts.count()
+    n_docs = documents.filter(F.col(text).isNotNull()).count()
+    units_ = parse_units(documents.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text).alias("text"))) if parsed is None else parsed
 
     def spread(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            hasher = Hasher(model.slots)
-            counts = np.zeros(model.weights.shape, np.int32)
+            reader = Reader(shared.value)
+            n_lines, n_subjects = reader.model.weights.shape
+            counts = np.zeros(n_lines * n_subjects, np.int32)
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    _add_main(model, [hasher.grams(part) for unit in _sectioned(t, model.openings) for _, part in unit], counts)
-            lines, subjects = counts.nonzero()
-            for at in range(0, len(lines), 100_000):
-                own = lines[at : at + 100_000], subjects[at : at + 100_000]
-                yield pa.RecordBatch.from_pydict({"line": pa.array(own[0], pa.int32()), "subject": pa.array(own[1], pa.int32()), "n": pa.array(counts[own], pa.int64())})
-
-        by_subject = texts.mapInArrow(run, "line int, subject int, n bigint").groupBy("line", "subject").agg(F.sum("n").alias("n"))
+                p = Parsed(b)
+                doc, _, z, gram_doc, lines = reader.read(p)
+                whole = np.zeros((p.n_docs, n_subjects))
+                np.add.at(whole, doc, _clear(z))
+                met = np.unique(gram_doc * np.int64(n_lines) + lines)
+                gram_doc, lines = np.divmod(met, n_lines)
+                told = whole[gram_doc].max(1, initial=0) > 0
+                np.add.at(counts, lines[told] * n_subjects + whole.argmax(1)[gram_doc[told]], 1)
+            lines, subjects = np.divmod(found := counts.nonzero()[0], n_subjects)
+            for at in range(0, len(found), 100_000):
+                cut_ = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_pydict({"line": pa.array(lines[cut_], pa.int32()), "subject": pa.array(subjects[cut_], pa.int32()), "n": pa.array(counts[found[cut_]], pa.int64())})
+
+        by_subject = units_.filter("words IS NOT NULL").select(*PARSED).mapInArrow(run, "line int, subject int, n bigint").groupBy("line", "subject").agg(F.sum("n").alias("n"))
         found = by_subject.groupBy("line").agg(F.sum("n").alias("total"), F.max("n").alias("most")).toArrow()
         total, most = np.zeros((2, len(model.weights)), np.int64)
         lines = found["line"].to_numpy()
@@ -524,70 +829,73 @@ def classify_batch(model: Model, hasher: Hasher, texts: list[str | None]) -> lis
     word of two subjects), the share of each in the text's clear parts adds to its evidence. A subject that no part is
     clearly about doesn't count. A unit counts once per subject.
     """
-    if not model.subjects:
-        return [{} for _ in texts]
-    grams: list[list[int]] = []
-    spans: list[tuple[int, int, int]] = []
-    for i, t in enumerate(texts):
-        if t and not t.isspace():
-            for u, unit in enumerate(text_units(t, model.openings)):
-                for part in unit:
-                    spans.append((i, u, len(grams)))
-                    grams.append(hasher.grams(part))
-    z = model.scores(grams)
-    about = _clear(z)
-    by_text: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, u, k in spans:
-        by_text[i].append((u, k))
+    columns = Parser().parse([t if t and not t.isspace() else None for t in texts])
     out: list[dict[str, int]] = [{} for _ in texts]
-    for i, parts in by_text.items():
-        ks = [k for _, k in parts]
-        whole = about[ks].sum(0)
-        share = CONTEXT * np.log(whole / max(whole.sum(), 1) + 0.05)
-        own = z[ks]
-        best = np.where((own >= own.max(1, keepdims=True) - NEAR) & (own >= model.thresholds), own + share, own - 1e6).argmax(1)
-        enough = (own[np.arange(len(ks)), best] >= model.thresholds[best]) & (whole[best] > 0)
-        counts = Counter(s for _, s in {(u, int(s)) for (u, _), s, ok in zip(parts, best, enough) if ok})
-        out[i] = {model.subjects[s]: n for s, n in counts.items()}
+    for d, s, n in zip(*(x.tolist() for x in classify_parsed(Reader(model), Parsed(columns)))):
+        out[d][model.subjects[s]] = n
     return out
 
 
-def fit_from(examples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", fit_documents: int = FIT_DOCUMENTS) -> Model:
+def classify_parsed(reader: Reader, parsed: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`classify_batch` gives, for parsed texts: number of the text, number of the subject, units about it."""
+    model = reader.model
+    none = np.zeros(0, np.int64)
+    if not model.subjects:
+        return none, none, none
+    doc, unit, z, _, _ = reader.read(parsed)
+    if not len(z):
+        return none, none, none
+    whole = np.zeros((parsed.n_docs, len(model.subjects)))
+    np.add.at(whole, doc, _clear(z))
+    share = CONTEXT * np.log(whole / np.maximum(whole.sum(1, keepdims=True), 1) + 0.05)
+    best = np.where((z >= z.max(1, keepdims=True) - NEAR) & (z >= model.thresholds), z + share[doc], z - 1e6).argmax(1)
+    at = np.arange(len(z))
+    enough = (z[at, best] >= model.thresholds[best]) & (whole[doc, best] > 0)
+    told = np.unique(np.stack([doc[enough], best[enough], unit[enough]]), axis=1)  # a unit counts once per subject
+    both, n = np.unique(told[0] * len(model.subjects) + told[1], return_counts=True)
+    return (*np.divmod(both, len(model.subjects)), n)
+
+
+def fit_from(examples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", fit_documents: int = FIT_DOCUMENTS, parsed: DataFrame | None = None) -> Model:
     """Fit on all examples; weights also on at most ``fit_documents`` whole documents, those with the smallest hashes of
-    their ids. Sentence openings and the documents of n-grams are counted over all documents."""
+    their ids. Sentence openings and the documents of n-grams are counted over all documents; ``parsed`` are these as
+    :func:`parse_units` gives them, else they are parsed here, once."""
     given = examples.select("text", F.lower(F.trim("subject")).alias("subject")).filter("text IS NOT NULL AND trim(text) <> '' AND subject <> ''")
     if not (labelled := [(r.text, r.subject) for r in given.collect()]):
         return fit([], [], openings=frozenset())
     there = documents.filter(F.col(text).isNotNull())
-    openings = openings_of(given.select("text").unionByName(there.select(F.col(text).alias("text"))))
+    if parsed is None:
+        parsed = cut(parse_units(there.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))))
+    columns = [*PARSED, "first", "n"]
+    own = cut(parse_units(given.select(F.lit(None).cast("bigint").alias("doc_id"), "text")))
+    openings = learned_openings(parsed.select(*columns).unionByName(own.select(*columns)))
     some = there.select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t"), F.col(path).alias("p")).orderBy("h").limit(fit_documents).collect()
-    return fit(sorted(labelled), [(r.t, r.p) for r in some], openings=openings, spread=spread_of(documents, text))
+    return fit(sorted(labelled), [(r.t, r.p) for r in some], openings=openings, spread=spread_of(documents, text, parsed))
 
 
-def subject_units(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def subject_units(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", parsed: DataFrame | None = None) -> DataFrame:
     """``doc_id, subject, units``: for each document the number of its units about each subject, whole texts read.
 
     Defined cases: null and blank texts and texts about nothing give no rows; a repeated document id gives its rows
-    as often; null ids are kept; other columns are ignored.
+    as often; null ids are kept; other columns are ignored. ``parsed`` are the documents as :func:`parse_units` gives them.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # as large as the bounded fitting sample, however many documents there are
-    given = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    if parsed is None:
+        parsed = parse_units(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(shared.value.slots)
+        reader = Reader(shared.value)
+        names = np.array(reader.model.subjects, object)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                ids, subjects, ns = [], [], []
-                for d, found in zip(b.column(0).to_pylist(), classify_batch(shared.value, hasher, b.column(1).to_pylist())):
-                    for s in sorted(found):
-                        ids.append(d), subjects.append(s), ns.append(found[s])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "subject": pa.array(subjects, pa.string()), "units": pa.array(ns, pa.int32())})
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                docs, subjects, ns = classify_parsed(reader, Parsed(b))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(names[subjects] if len(names) else [], pa.string()), pa.array(ns, pa.int32())], names=["doc_id", "subject", "units"])
 
-    return given.mapInArrow(run, "doc_id bigint, subject string, units int")
+    return parsed.filter("words IS NOT NULL").select("doc_id", *PARSED).mapInArrow(run, "doc_id bigint, subject string, units int")
 
 
-def document_subjects(documents: DataFrame, model: Model, min_units: int = MIN_UNITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def document_subjects(documents: DataFrame, model: Model, min_units: int = MIN_UNITS, doc_id: str = "doc_id", text: str = "text", parsed: DataFrame | None = None) -> DataFrame:
     """``doc_id, subject, units`` of the subjects at least ``min_units`` units of a document are about."""
-    return subject_units(documents, model, doc_id, text).filter(F.col("units") >= min_units)
+    return subject_units(documents, model, doc_id, text, parsed).filter(F.col("units") >= min_units)
