@@ -511,6 +511,12 @@ def pattern_hashes(openings: Iterable[tuple]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; a plain sort, which is faster than hashing for these."""
+    ordered = np.sort(values)
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+
+
 def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     place = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
     return ordered[place] == values
@@ -547,6 +553,7 @@ class Reader:
         order = np.argsort(keys, kind="stable")
         self.keys, self.lines = keys[order], np.fromiter(model.slots.values(), np.int64, len(model.slots))[order]
         self.openings = np.sort(pattern_hashes(model.openings))
+        self.says = model.weights.any(1)  # lines with a weight
 
     def line(self, buckets: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -564,12 +571,13 @@ class Reader:
         owner = np.r_[piece, piece[inside]]
         known = lines > 0
         # a part's n-grams count once
-        both = np.unique(owner[known] * np.int64(len(self.model.weights)) + lines[known])
-        owner, lines = np.divmod(both, len(self.model.weights))
+        owner, lines = np.divmod(_distinct(owner[known] * np.int64(len(self.model.weights)) + lines[known]), len(self.model.weights))
         z = np.zeros((len(size), len(self.model.subjects)), np.float32)
-        if len(owner):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            z[owner[first]] = np.add.reduceat(self.model.weights[lines], first, axis=0)
+        says = self.says[lines]
+        if says.any():
+            own, some = owner[says], lines[says]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            z[own[first]] = np.add.reduceat(self.model.weights[some], first, axis=0)
         return doc, unit, z, doc[owner] if len(owner) else owner, lines
 
 
@@ -727,13 +735,11 @@ def spread_of(documents: DataFrame, text: str = "text", parsed: DataFrame | None
             reader = Reader(shared.value)
             n_lines, n_subjects = reader.model.weights.shape
             counts = np.zeros(n_lines * n_subjects, np.int32)
-            for b in batches:
-                p = Parsed(b)
+            for p in (Parsed(b.slice(at, 1000)) for b in batches for at in range(0, b.num_rows, 1000)):
                 doc, _, z, gram_doc, lines = reader.read(p)
                 whole = np.zeros((p.n_docs, n_subjects))
                 np.add.at(whole, doc, _clear(z))
-                met = np.unique(gram_doc * np.int64(n_lines) + lines)
-                gram_doc, lines = np.divmod(met, n_lines)
+                gram_doc, lines = np.divmod(_distinct(gram_doc * np.int64(n_lines) + lines), n_lines)
                 told = whole[gram_doc].max(1, initial=0) > 0
                 np.add.at(counts, lines[told] * n_subjects + whole.argmax(1)[gram_doc[told]], 1)
             lines, subjects = np.divmod(found := counts.nonzero()[0], n_subjects)
@@ -851,9 +857,10 @@ def classify_parsed(reader: Reader, parsed: Parsed) -> tuple[np.ndarray, np.ndar
     best = np.where((z >= z.max(1, keepdims=True) - NEAR) & (z >= model.thresholds), z + share[doc], z - 1e6).argmax(1)
     at = np.arange(len(z))
     enough = (z[at, best] >= model.thresholds[best]) & (whole[doc, best] > 0)
-    told = np.unique(np.stack([doc[enough], best[enough], unit[enough]]), axis=1)  # a unit counts once per subject
-    both, n = np.unique(told[0] * len(model.subjects) + told[1], return_counts=True)
-    return (*np.divmod(both, len(model.subjects)), n)
+    n_units = int(unit.max()) + 1
+    told = _distinct((doc[enough] * len(model.subjects) + best[enough]) * n_units + unit[enough]) // n_units  # a unit counts once per subject
+    first = np.flatnonzero(np.r_[True, told[1:] != told[:-1]]) if len(told) else none
+    return (*np.divmod(told[first], len(model.subjects)), np.diff(np.r_[first, len(told)]))
 
 
 def fit_from(examples: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", fit_documents: int = FIT_DOCUMENTS, parsed: DataFrame | None = None) -> Model:
