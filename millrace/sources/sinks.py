@@ -118,9 +118,12 @@ class KeyedStore:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
 
     def upsert(self, batch: DataFrame, number: int) -> None:
-        """For ``foreachBatch``, numbered from 0: of rows with one ident the one with the greatest order stays."""
+        """For ``foreachBatch``, numbered from 0: of rows with one ident the one with the greatest order stays.
+
+        Rows without ident or order are skipped.
+        """
         bucket = F.pmod(F.xxhash64(self.ident), F.lit(self.buckets)).cast("int")
-        kept = batch.persist()
+        kept = batch.filter(F.col(self.ident).isNotNull() & F.col(self.order).isNotNull()).persist()
         try:
             where = self._where(number - 1)
             touched = sorted(r[0] for r in kept.select(bucket.alias("b")).distinct().collect())
