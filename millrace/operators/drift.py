@@ -92,6 +92,7 @@ def file_fields(records: DataFrame, file: str, text: str, share: float = CHUNK_S
         return counts.groupBy("file", "path").agg(*[F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES], F.sum("covered").alias("covered"))
 
     def judged(sums: DataFrame, left_out: float) -> DataFrame:
+        sums = cut(sums)  # read for the sizes and for the fields
         sizes = sums.filter("path = ''").select("file", F.col("covered").alias("rows"))
         ranked = F.array_sort(F.array(*[F.struct(-F.col(f"n_{t}"), F.lit(i), F.lit(t).alias("t")) for i, t in enumerate(TYPES)]))
         facts = sums.filter("path <> ''").join(sizes, "file").withColumn("n", sum((F.col(f"n_{t}") for t in TYPES), F.lit(0))).withColumn("_r", ranked)
