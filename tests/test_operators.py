@@ -1,16 +1,21 @@
 """Reference operators that SQL twins don't cover: feeds, records, sinks, streams, scorers, texts."""
 
 import base64
+import contextlib
 import datetime
 import gzip
 import io
 import json
 import math
+import random
 import tarfile
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
+from compare import differences, duck
 from pyspark.sql import Row
 
 from millrace import pipeline as P
@@ -18,12 +23,14 @@ from millrace.functions import aggregates as A
 from millrace.functions import payload as Y
 from millrace.functions import scores as S
 from millrace.functions import text as X
+from millrace.operators import nearest
 from millrace.operators import retrieval as R
 from millrace.operators.enrich import prefix_join
 from millrace.operators.induction import induce_types
 from millrace.operators.merges import merge_vocabulary
 from millrace.operators.ranks import at_positions, cumulative_counts
 from millrace.operators.rollup import advance_rollup
+from millrace.plans import corpus
 from millrace.sources import records as I
 from millrace.sources import sinks as K
 from millrace.streaming import pipes as V
@@ -165,6 +172,76 @@ def test_retrieval(spark):
     assert [r.z for r in n] == [-1.0, 1.0, 0.0] and [r.part for r in n] == [0.25, 0.75, 1.0] and n[0].softmax == pytest.approx(1 / (1 + math.e**2))
 
 
+@contextlib.contextmanager
+def spark_conf(spark, key, value):
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _written(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_similar_documents(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(3, 9))) for _ in range(300)] + ["straße_größe", "𝒜𝒷𝒸𝒹𝑒𝒻", "日本語日本語文書"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(700)]
+    rows += [(i + 1000, rows[i][1]) for i in range(0, 300, 7)] + [(100, "abcde once more"), (151, rows[150][1]), (151, "x"), (None, rows[50][1]), (None, "abcdeabcde"), (50_000, None), (50_050, "Ω"), (50_100, "a" * 3000)]
+    folder, sql = _written(spark, tmp_path, rows), corpus.SQL["similar_documents"]
+    con = duck(folder)
+    assert differences(corpus.similar_documents(spark, folder), con, sql) == ""
+    monkeypatch.setattr(nearest, "QUERY_ENTRIES", 300)  # several parts of queries, and blocks
+    monkeypatch.setattr(nearest, "BLOCK_DOCUMENTS", 1)
+    with spark_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "90"):
+        assert differences(corpus.similar_documents(spark, folder), con, sql) == ""
+    monkeypatch.setattr(corpus, "LISTED_TERMS", 3)  # joined instead
+    assert differences(corpus.similar_documents(spark, folder), con, sql) == ""
+
+
+@pytest.mark.parametrize("common, tile", [(0, 3), (5, 3), (40, 7), (512, 256)])
+def test_best_of_blocks(monkeypatch, common, tile):
+    monkeypatch.setattr(nearest, "COMMON", common)
+    monkeypatch.setattr(nearest, "TILE", tile)
+    rng = np.random.default_rng(5)
+    held = rng.random((200, 40)) * (rng.random((200, 40)) < np.linspace(0.01, 0.6, 40))
+    held[150:] = held[:50]
+    norm = np.sqrt((held**2).sum(1))
+    asked = held[::10] / 3
+    q = nearest.Queries(np.arange(0, 200, 10), *np.nonzero(asked), asked[asked > 0], np.full(20, -1.0), 40)
+    top = nearest.Best(q, 5)
+    for a in (0, 70):
+        part = held[a : a + 70] if not a else held[a:]
+        top.offer(np.arange(a, a + len(part)), *np.nonzero(part), part[part > 0], norm[a : a + len(part)])
+    score = np.floor(asked @ held.T / np.maximum(norm, 1e-9) * 1e5 + 0.5) / 1e5
+    want = []
+    for i, x in enumerate(score):
+        others = [d for d in range(200) if d != 10 * i and (asked[i] * held[d]).any()]
+        want += [(10 * i, d, x[d]) for d in sorted(others, key=lambda d: (-x[d], d))[:5]]
+    got = [(r["query"], r["doc"], r["score"]) for r in top.rows().to_pylist()]
+    assert got == want
+
+
+def test_windows_of_words():
+    w = nearest.Windows(["bcdef"])
+    row, term, c = w.entries(pa.array([["abcdef", "bcdefbcdef"], [], ["abcdef"]]))
+    assert (row.tolist(), term.tolist(), c.tolist()) == ([0] * 6 + [2] * 2, [0, 1, 2, 3, 4, 5, 0, 1], [3, 1, 1, 1, 1, 1, 1, 1])
+
+
+def test_similar_documents_shuffles_no_pairs(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    folder = _written(spark, tmp_path, [(i, " ".join(rng.choices(words, k=12))) for i in range(5000)])
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert corpus.similar_documents(spark, folder).count() == 500
+    assert written() - before < 1_000_000  # of the 500,000 pairs nearly all share a term
+
+
 def test_cursor_mix(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd", 2), (2, "a", 5), (3, None, 1)], "d int, t string, at int")
     got = {r.d: r.near and [tuple(x) for x in r.near] for r in R.near_cursor(df, "d", "t", "at", 2).collect()}
